@@ -1,10 +1,12 @@
 """The queries of this subpackage and the SQL that they are held against."""
 
-from foliolens.llm import html_text, url_filters, warc
+from foliolens.llm import chat, html_text, quality_rules, url_filters, warc
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
     "op2_warc": warc.op2_warc,
     "op3_html_extraction": html_text.op3_html_extraction,
+    "op6_chat_formatting": chat.op6_chat_formatting,
+    "op8_quality_rules": quality_rules.op8_quality_rules,
 }
-SQL = {"op1_url_filters": url_filters.SQL, "op2_warc": warc.SQL}
+SQL = {"op1_url_filters": url_filters.SQL, "op2_warc": warc.SQL, "op6_chat_formatting": chat.SQL}
