@@ -64,6 +64,15 @@ def small_batches(spark: SparkSession, rows: int = 1000, mb: int = 16) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
 
 
+def hash_sample(df: DataFrame, limit: int, *key: str) -> DataFrame:
+    """About limit rows at most, chosen by a hash of key alone; all rows if they are no more.
+
+    Unlike an ordered limit, no task sends more than its share to the driver.
+    """
+    share = df.count() // limit + 1
+    return df if share == 1 else df.where(F.pmod(F.xxhash64(F.lit(17), *key), F.lit(share)) == 0)
+
+
 def crc_mod(column: str, modulus: int) -> Column:
     """crc32 of the id as decimal text, modulo; null ids count as remainder -1."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % modulus, F.lit(-1))
