@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliolens.llm.common import crc_mod, mix, range_hash, small_batches, table, text_bytes, word_spans
+from foliolens.llm.common import crc_mod, mix, range_hash, slices, small_batches, table, text_bytes, word_spans
 from foliolens.llm.quality_rules import labelled
 
 SAMPLE = 3000
@@ -74,8 +74,8 @@ def word_vectors(texts: pa.Array) -> np.ndarray:
     """Each slot's own index vector, plus those of terms beside it, scaled by how often it stood."""
     index = index_vectors()
     total, seen = np.zeros_like(index), np.zeros(len(index))
-    for k in range(0, len(texts), 200):
-        words, shapes, marks, counts = terms(texts.slice(k, 200))
+    for a, n in slices(texts):
+        words, shapes, marks, counts = terms(texts.slice(a, n))
         owner = np.repeat(np.arange(len(counts)), counts)
         beside = owner[1:] == owner[:-1]
         a, b = np.flatnonzero(beside), np.flatnonzero(beside) + 1
@@ -156,14 +156,15 @@ def train(docs: DataFrame, labels: DataFrame, allowed: F.Column, limit: int = SA
     vectors = word_vectors(texts)
     if good.all() or not good.any():
         return vectors, None
-    x = np.concatenate([pooled(texts.slice(k, 200), vectors) for k in range(0, len(texts), 200)])
+    x = np.concatenate([pooled(texts.slice(a, n), vectors) for a, n in slices(texts)])
     return vectors, fit(x, good, np.arange(len(good)) % 5 == 4)
 
 
 def _score(vectors, net, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     vectors = vectors.value
     for batch in batches:
-        scores = predict(net, pooled(batch.column("text"), vectors)) if len(batch) else np.zeros(0)
+        texts = batch.column("text")
+        scores = np.concatenate([np.zeros(0), *(predict(net, pooled(texts.slice(a, n), vectors)) for a, n in slices(texts))])
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "score"])
 
 

@@ -170,3 +170,21 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     cuts = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     return raw[cuts[0] : cuts[-1]], cuts - cuts[0]
+
+
+def slices(texts, most: int = 1 << 20):
+    """Runs of an Arrow string array with so many bytes at most (one longer text is a run), as (start, length).
+
+    Arrays by byte take some dozen times a text's size; these bound them.
+    """
+    import pyarrow.compute as pc
+
+    sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), np.int64)
+    start, held = 0, 0
+    for k, size in enumerate(sizes.tolist()):
+        if held and held + size > most:
+            yield start, k - start
+            start, held = k, 0
+        held += size
+    if start < len(sizes):
+        yield start, len(sizes) - start
