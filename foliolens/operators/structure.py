@@ -6,13 +6,15 @@ document is judged where it is.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliolens import fixed_values as V
 from foliolens.functions import text as T
 from foliolens.operators.parse import field, front_matter
-from foliolens.operators.rules import NONE, at_block, position  # noqa: F401
+from foliolens.operators.rules import NONE, position
 
 
 def long_paragraphs(lang: str) -> Column:
@@ -45,48 +47,34 @@ def work_note(lang: str, k: int) -> Column:
     return F.when(F.col("doctype").isNotNull() & ~F.col("doctype").isin(*V.WORK_NOTES_OK), F.transform(held, at)).otherwise(F.array().cast(NONE))
 
 
-def _names(section: tuple) -> list[str]:
-    return [n.lower() for n in section[3] + section[4]]
-
-
-def _fits_section(heading: Column, section: tuple) -> Column:
-    return T.any_of(F.contains(F.lower(heading), F.lit(n)) for n in _names(section))
-
+def _sections_of(lang: str, asks: dict[tuple[str, str], str] | None = None) -> Column:
+    """What the declared type asks for, as array<struct>; one literal, whatever the number of types. Null if none is declared."""
+    table = {
+        doctype: [{"required": need, "lead_ok": lead, "name": (ja if lang == "ja" else en)[0], "ask": (asks or {}).get((doctype, section_id), ""), "names": [n.lower() for n in ja + en]} for section_id, need, lead, ja, en in sections]
+        for doctype, sections in V.DOCTYPES.items()
+    }
+    kind = "map<string,array<struct<required:boolean,lead_ok:boolean,name:string,ask:string,names:array<string>>>>"
+    return F.try_element_at(F.from_json(F.lit(json.dumps(table, ensure_ascii=False)), kind), F.col("doctype"))
 
-def _places(doctype: str) -> Column:
-    """Of a type's sections, in its order: (ord, first heading that fits among the sections, any in the outline)."""
-    out = []
-    for k, section in enumerate(V.DOCTYPES[doctype]):
-        at = F.transform("sections", lambda o, i: F.when(_fits_section(o["text"], section), i))
-        out.append(F.struct(F.lit(k).alias("ord"), F.array_min(F.filter(at, lambda x: x.isNotNull())).alias("at"), F.exists("outline", lambda o: _fits_section(o["text"], section)).alias("nested")))
-    return F.array(*out)
 
+def _places(asked: str) -> Column:
+    """Of the asked sections, in their order: the first heading that fits among the sections, and if any does in the outline.
 
-def _by_type(make, empty: str) -> Column:
-    chain = F
-    for name, sections in V.DOCTYPES.items():
-        if sections:
-            chain = chain.when(F.col("doctype") == name, make(name))
-    return chain.otherwise(F.array().cast(empty))
+    A heading fits if it contains one of the names, in lower case.
+    """
+    fits = lambda d, o: F.exists(d["names"], lambda n: F.contains(F.lower(o["text"]), n))
 
+    def place(d):
+        at = F.filter(F.transform("sections", lambda o, i: F.when(fits(d, o), i)), lambda x: x.isNotNull())
+        return F.struct(d.alias("d"), F.array_min(at).alias("at"), F.exists("outline", lambda o: fits(d, o)).alias("nested"))
 
-def missing_sections(lang: str, asks: dict[tuple[str, str], str] | None = None) -> Column:
-    """Required sections that are nowhere; asks may name, by (doctype, section id), what a section has to answer."""
+    return F.transform(asked, place)
 
-    def of(doctype):
-        parts = []
-        for k, (section_id, required, lead_ok, ja, en) in enumerate(V.DOCTYPES[doctype]):
-            if required:
-                place = F.get("places", F.lit(k))
-                gone = place["at"].isNull() & ~place["nested"]
-                if k == 0 and lead_ok:
-                    gone = gone & F.col("lead").isNull()
-                name = (ja if lang == "ja" else en)[0]
-                note = (asks or {}).get((doctype, section_id), "")
-                parts.append(F.when(gone, position(F.lit(1), 1, F.lit(f"{name}｜{note}"))))
-        return F.filter(F.array(*parts), lambda p: p.isNotNull())
 
-    return _by_type(of, NONE)
+def missing_sections() -> Column:
+    """Required sections that are nowhere; the lead may stand for the first one, where that allows it."""
+    gone = lambda p, k: p["d"]["required"] & p["at"].isNull() & ~p["nested"] & ~((k == 0) & p["d"]["lead_ok"] & F.col("lead").isNotNull())
+    return F.transform(F.filter("places", gone), lambda p: position(F.lit(1), 1, F.concat(p["d"]["name"], F.lit("｜"), p["d"]["ask"])))
 
 
 def section_order() -> Column:
@@ -134,15 +122,19 @@ def resolve_doctype(docs: DataFrame, source: str = "source", path: str | None =
     return T.bound(d, doctype=checked).drop("_m")
 
 
-def structure(parsed: DataFrame, lang: str, plot: str | None = None) -> tuple[DataFrame, list]:
-    """Adds columns of positions for the structure rules; parsed needs doctype (null: none declared)."""
-    d = T.bound(parsed, places=_by_type(_places, "array<struct<ord:int,at:int,nested:boolean>>"))
+def structure(parsed: DataFrame, lang: str, plot: str | None = None, asks: dict[tuple[str, str], str] | None = None) -> tuple[DataFrame, list]:
+    """Adds columns of positions for the structure rules; parsed needs doctype (null: none declared).
+
+    asks may say, by (doctype, section id), what a missing section has to answer.
+    """
+    d = T.bound(parsed, _asked=_sections_of(lang, asks))
+    d = T.bound(d, places=_places("_asked"))
     columns = {"s_long": long_paragraphs(lang), "s_empty": empty_sections()}
     rules = [(V.LONG_PARAGRAPH, "s_long"), (V.EMPTY_SECTION, "s_empty")]
     for k, (_, message) in enumerate(V.LEAD_OPENERS[lang]):
         columns[f"s_lead{k}"] = lead_opener(lang, k)
         rules.append(((*V.LEAD_OPENER, message), f"s_lead{k}"))
-    columns |= {"s_missing": missing_sections(lang), "s_order": section_order()}
+    columns |= {"s_missing": missing_sections(), "s_order": section_order()}
     rules += [(V.MISSING_SECTION, "s_missing"), (V.SECTION_ORDER, "s_order")]
     for k, (_, message) in enumerate(V.WORK_NOTES[lang]):
         columns[f"s_note{k}"] = work_note(lang, k)
