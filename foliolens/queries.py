@@ -370,7 +370,7 @@ select word, a, b, round(g2, 6) as g2, round(lr, 6) as log_ratio, case when over
 n as (select word, count(*) as n from only_o group by word), df as (select word as instead, count(*) as df from t group by word), c as (select a.word, b.word as instead, count(*) as support from only_o a join only_t b using (id) group by all having count(*) >= 2),
 s as (select *, (support / n) / (df / (select count(*) from pairs)) as lift from c join n using (word) join df using (instead)), k as (select *, row_number() over (partition by word order by support * ln(lift) desc, instead) as rank from s where lift >= 2)
 select word, instead, support, round(lift, 9) as lift, rank::int as rank from k where rank <= 3""",
-    "turn_dice": f"with {_PAIRS}, dp as (select word as pivot, count(*) as dp from t group by word), dw as (select word, count(*) as dw from o group by word), h as (select t.word as pivot, o.word, count(*) as hits from t join o using (id) group by all having count(*) >= 3) select pivot, word, hits, round(2 * hits / (dp + dw), 9) as dice from h join dp using (pivot) join dw using (word) where 2 * hits / (dp + dw) >= 0.25",
+    "turn_dice": f"with {_PAIRS}, dp as (select word as pv, count(*) as dp from t group by word), dw as (select word, count(*) as dw from o group by word), h as (select t.word as pv, o.word, count(*) as hits from t join o using (id) group by all having count(*) >= 3) select pv as \"pivot\", word, hits, round(2 * hits / (dp + dw), 9) as dice from h join dp using (pv) join dw using (word) where 2 * hits / (dp + dw) >= 0.25",
     "pattern_rates": " union all ".join(f"select lang, '{n}' as pattern, sum(len(regexp_extract_all(coalesce(text, ''), '{p}')))::bigint as hits, sum(length(coalesce(text, '')))::bigint as chars, round(sum(len(regexp_extract_all(coalesce(text, ''), '{p}'))) * 10000.0 / sum(length(coalesce(text, ''))), 9) as rate from documents where lang is not null group by lang" for n, p in _PATTERNS.items()),
     "html_text": """with h as (select page_id, string_split_regex(coalesce(html, ''), '<[^>]+>') as g, regexp_extract_all(coalesce(html, ''), '<[^>]+>') as m from pages),
 t as (select page_id, array_to_string(list_transform(range(1, len(g) + 1), lambda k: g[k] || coalesce(repeat(chr(10), length(m[k]) - length(replace(m[k], chr(10), ''))), '')), '') as t from h) select page_id, md5(t) as digest, (length(t) - length(replace(t, chr(10), '')))::bigint as line_ends from t""",
