@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliolens.llm import classifier, decontamination, pieces, quality_rules, simhash
+from foliolens.llm import classifier, decontamination, near_copies, pieces, quality_rules
 from foliolens.llm.common import small_batches, stored, table
 
 
@@ -36,25 +36,10 @@ def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str)
     return classifier.scored(own, model).where(F.col("score") >= classifier.THRESHOLD).select(columns)
 
 
-def _matched(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    return docs.alias("d").join(ids.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), how)
-
-
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints: that with the smallest doc_id.
-
-    Of rows that share this id one stays, that with the smallest text.
-    """
+    """One row of each group of texts that are linked by a Jaccard similarity of 0.8 or more of their five-word shingles."""
     small_batches(spark)
-    kept = simhash.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    held = _matched(docs, kept, "left_semi")
-    again = docs.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if again.isEmpty():
-        return held
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    first = _matched(held, again, "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *others)).alias("r"))
-    first = first.select(*(F.col("doc_id") if c == "doc_id" else F.col(f"r.{c}").alias(c) for c in docs.columns))
-    return _matched(held, again, "left_anti").unionByName(first)
+    return near_copies.survivors(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
