@@ -64,3 +64,14 @@ def test_near_dedup_stage_matches_brute_force(spark, monkeypatch, crowded):
     assert out.columns == docs.columns
     assert sorted(r.doc_id for r in out.collect()) == want
     assert corpus_pipeline.near_dedup_stage(spark, docs.limit(0), "").collect() == []
+
+
+def test_near_dedup_stage_keeps_rows_whose_ids_clash(spark):
+    rng = random.Random(12)
+    x, y, z, w = (text_of(rng, 120) for _ in range(4))
+    rows = [(3, y, "a"), (5, x, "b"), (5, edited(rng, y, 2), "c"), (None, z, "d"), (None, w, "e"), (None, edited(rng, z, 2), "f"), (None, text_of(rng, 80), "g"), (7, text_of(rng, 80), "h"), (7, text_of(rng, 80), "i"), (8, x, "j"), (8, x, "j")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    out = sorted(r.lang for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect())
+    assert out in (list("abdeghi"), list("abefghi"))  # c copies a, j copies b; of d and f one stays
+    same = spark.createDataFrame([(1, x, "j")] * 3, "doc_id long, text string, lang string")
+    assert corpus_pipeline.near_dedup_stage(spark, same, "").count() == 1
