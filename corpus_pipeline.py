@@ -29,9 +29,13 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a score of 0.3 or more."""
+    """Documents with a score of 0.3 or more.
+
+    The network learns from the labelled rows of the whole documents table: the stage before has
+    already dropped most of the bad ones from docs.
+    """
     small_batches(spark)
-    model = classifier.train(docs, table(spark, sf_dir, "labels"), F.lit(True))
+    model = classifier.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.lit(True))
     own, columns = _beside(docs, "score")
     return classifier.scored(own, model).where(F.col("score") >= classifier.THRESHOLD).select(columns)
 

@@ -75,3 +75,28 @@ def test_near_dedup_stage_keeps_rows_whose_ids_clash(spark):
     assert out in (list("abdeghi"), list("abefghi"))  # c copies a, j copies b; of d and f one stays
     same = spark.createDataFrame([(1, x, "j")] * 3, "doc_id long, text string, lang string")
     assert corpus_pipeline.near_dedup_stage(spark, same, "").count() == 1
+
+
+@pytest.fixture(scope="module")
+def corpus(spark, tmp_path_factory):
+    """Good prose, bad documents that the base rule rejects, and unlabelled ones like them that it lets through."""
+    rng = random.Random(13)
+    junk = lambda n: " ".join("".join(rng.choice("#$%XQZ0189") for _ in range(7)) for _ in range(n))
+    docs = [(k, text_of(rng, rng.randrange(60, 200)), "good") for k in range(150)]
+    docs += [(k, junk(rng.randrange(20, 49)), "short") for k in range(150, 250)]
+    docs += [(k, junk(rng.randrange(60, 120)), "missed") for k in range(250, 290)]
+    path = str(tmp_path_factory.mktemp("sf"))
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{path}/documents.parquet")
+    labels = [(k, int(kind == "good"), 0) for k, _, kind in docs if kind != "missed"]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    item = " ".join(docs[0][1].split(" ")[5:45])
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return path
+
+
+def test_classifier_stage_rejects_what_rules_let_through(spark, corpus):
+    kept = corpus_pipeline.quality_rules_stage(spark, spark.read.parquet(f"{corpus}/documents.parquet"), corpus)
+    before = [r.source for r in kept.collect()]
+    assert before.count("missed") == 40 and before.count("short") == 0 and before.count("good") == 150
+    after = [r.source for r in corpus_pipeline.quality_classifier_stage(spark, kept, corpus).collect()]
+    assert after.count("missed") <= 2 and after.count("good") >= 140
