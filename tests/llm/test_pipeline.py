@@ -100,3 +100,10 @@ def test_classifier_stage_rejects_what_rules_let_through(spark, corpus):
     assert before.count("missed") == 40 and before.count("short") == 0 and before.count("good") == 150
     after = [r.source for r in corpus_pipeline.quality_classifier_stage(spark, kept, corpus).collect()]
     assert after.count("missed") <= 2 and after.count("good") >= 140
+
+
+def test_run_matches_its_stages_by_brute_force(spark, corpus):
+    out = {r.doc_id: r for r in corpus_pipeline.run(spark, corpus).collect()}
+    good = set(range(1, 150))  # 0 holds the benchmark item
+    assert 0 not in out and len(out.keys() & good) >= 140 and not out.keys() & set(range(150, 250)) and len(out.keys() - good) <= 2
+    assert all(r.n_ids == len(r.ids) > 0 for r in out.values())
