@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliolens.llm.common import stored
+from foliolens.llm.common import discard, release, stored
 from foliolens.llm.simhash import components, shingle_hashes
 
 SIZE = 5
@@ -115,7 +115,12 @@ def verified(pairs: DataFrame, rows: DataFrame, size: int = SIZE, similar: tuple
     texts = rows.select("node", F.col("row.text").cast("string").alias("text")).join(nodes, "node", "left_semi").dropDuplicates(["node"])
     sets = stored(texts.mapInArrow(partial(_sets, size), "node binary, own binary"), "sets")
     a, b = (sets.select(F.col("node").alias(k), F.col("own").alias(f"of_{k}")) for k in "ab")
-    return stored(pairs.join(a, "a").join(b, "b").select("a", "b", "of_a", "of_b").mapInArrow(partial(_verified, similar), "a binary, b binary"), "links")
+    release(rows.sparkSession)
+    found = stored(pairs.join(a, "a").join(b, "b").select("a", "b", "of_a", "of_b").mapInArrow(partial(_verified, similar), "a binary, b binary"), "links")
+    discard(pairs)
+    discard(sets)
+    release(rows.sparkSession)
+    return found
 
 
 def _pairs(left: DataFrame, right: DataFrame, similar: tuple[int, int], once: bool = True) -> DataFrame:
@@ -132,16 +137,20 @@ def links(rows: DataFrame, size: int = SIZE, similar: tuple[int, int] = SIMILAR,
     """(a, b) of similar nodes; within a key of over crowded nodes, enough of them to connect all that are connected."""
     crowded = CROWDED if crowded is None else crowded
     keys = stored(rows.select("node", "n", "keys").mapInArrow(_keys, "key long, node binary, n long, place long").distinct(), "keys")
+    release(rows.sparkSession)
     counts = keys.groupBy("key").count()
     many = stored(counts.where(F.col("count") > crowded).select("key"), "crowded")
     some = keys.join(counts.where(F.col("count").between(2, crowded)).select("key"), "key", "left_semi")
     pairs = _pairs(some, some, similar)
     if many.isEmpty():
-        return verified(pairs, rows, size, similar)
+        found = verified(pairs, rows, size, similar)
+        discard(keys)
+        return found
     members = stored(keys.join(many, "key", "left_semi"), "members")
     first = members.groupBy("key").agg(F.array_distinct(F.array(*(F.min(F.struct(F.xxhash64(F.lit(k), "node").alias("h"), "node", "n", "place")) for k in range(REPRESENTATIVES)))).alias("r"))
     first = first.select("key", F.explode("r").alias("r")).select("key", "r.node", "r.n", "r.place").distinct()
     found = verified(pairs.unionByName(_pairs(first, members, similar, once=False)), rows, size, similar)
+    discard(keys)
     roots = components(found)
     named = stored(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "named")
     main = named.groupBy("key", "root").count().groupBy("key").agg(F.max(F.struct("count", "root")).alias("m")).select("key", F.col("m.root").alias("main"))
@@ -150,7 +159,10 @@ def links(rows: DataFrame, size: int = SIZE, similar: tuple[int, int] = SIMILAR,
     root = named.select("node", "root").distinct()
     more = _pairs(rest, members, similar, once=False).distinct()
     more = more.join(root.toDF("a", "ra"), "a").join(root.toDF("b", "rb"), "b").where("ra <> rb").select("a", "b")
-    return found.unionByName(verified(more, rows, size, similar))
+    more = verified(more, rows, size, similar)
+    discard(members)
+    discard(named)
+    return found.unionByName(more)
 
 
 def keyed(docs: DataFrame, size: int = SIZE, similar: tuple[int, int] = SIMILAR) -> DataFrame:
@@ -175,4 +187,6 @@ def survivors(docs: DataFrame, size: int = SIZE, similar: tuple[int, int] = SIMI
     light = rows.select("node", "rid", rank.alias("rank")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = light.groupBy("root").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").select("root", F.col("first.rid").alias("stays"))
     gone = light.select("root", "rid").join(first, "root").where("rid <> stays").select("rid")
+    gone = stored(gone, "gone")
+    release(docs.sparkSession)
     return rows.join(gone, "rid", "left_anti").select("row.*")
