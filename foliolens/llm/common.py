@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -20,17 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` names it on a cluster. Only where that is unset, as
-    in tests on one machine, a temporary folder is made and set.
+    ``spark.checkpoint.dir`` names it on a cluster, or else the folder given to
+    setCheckpointDir(). Where both are unset a temporary folder is made, but only for a master
+    within this process: executors elsewhere would write to disks of their own.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or getattr(context, "_foliolens_shared", None)
     if not found:
-        context = spark.sparkContext
-        found = getattr(context, "_foliolens_shared", None)
-        if not found:
-            found = f"file://{tempfile.mkdtemp(prefix='foliolens-')}"
-            context._foliolens_shared = found
-            context.setCheckpointDir(found)
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = context._foliolens_shared = f"file://{tempfile.mkdtemp(prefix='foliolens-')}"
     return found.rstrip("/")
 
 
@@ -68,9 +68,23 @@ def partitions(spark: SparkSession) -> int:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000, mb: int = 16) -> None:
-    """Bounds what one Arrow batch holds, so that very long texts do not add up."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
+    """Bounds what one Arrow batch holds, so that very long texts do not add up.
+
+    Plans are lazy, so the session has to keep these settings; smaller ones of its own stay.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", mb << 20)):
+        own = spark.conf.get(key, None) or ""
+        if not (own.isdigit() and 0 < int(own) <= most):
+            spark.conf.set(key, str(most))
+
+
+def own_columns(df: DataFrame) -> list[Column]:
+    """df's columns as they are, with dots and backticks in their names."""
+    return [F.col(quoted(c)) for c in df.columns]
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def hash_sample(df: DataFrame, limit: int, *key: str) -> DataFrame:
