@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,14 +22,17 @@ from pyspark.sql import functions as F
 from foliolens.llm.common import fresh_path, small_batches, table
 
 SMALLEST = 100
-DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
+#: What could end a header's line or value, and the sign of the code itself.
+_CODES = {"%": "%25", "\r": "%0D", "\n": "%0A", "\x00": "%00", " ": "%20"}
+
+
 def _clean(column: str) -> F.Column:
-    """A header's value: what could end the line or the header is percent-encoded."""
+    """A header's value, from which _unclean() gives back any string."""
     c = F.coalesce(F.col(column).cast("string"), F.lit(""))
-    for char, code in (("%0", "%250"), ("\r", "%0D"), ("\n", "%0A"), ("\x00", "%00"), (" ", "%20")):
+    for char, code in _CODES.items():
         c = F.replace(c, F.lit(char), F.lit(code))
     return c
 
@@ -38,8 +42,8 @@ def resolve(headers: DataFrame, smallest: int = SMALLEST) -> DataFrame:
 
     Originals are the smallest page_id of each digest, found by partial aggregation.
     Only digests with more than one page are joined back. Rows that repeat the
-    original's page_id and payload are responses too; null ids are never originals
-    unless all of a digest's ids are null.
+    original's page_id and payload are responses too. Null ids are revisits of an original that has
+    an id; where all of a digest's ids are null, all are responses.
     """
     originals = headers.where(F.col("payload_bytes") >= smallest).groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
     joined = headers.join(originals, "payload_digest", "left")
@@ -47,20 +51,22 @@ def resolve(headers: DataFrame, smallest: int = SMALLEST) -> DataFrame:
     return joined.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("refers_to")))
 
 
-def write_archives(pages: DataFrame, path: str, payload: str = "html", date: str = DATE, smallest: int = SMALLEST) -> str:
+def write_archives(pages: DataFrame, path: str, payload: str = "html", date: str | None = None, smallest: int = SMALLEST) -> str:
     """Writes one record per row of pages (page_id, url, payload column) under path.
 
-    A null payload is empty, a null url is written as an empty target. Other columns
+    A null payload is empty, a null url is written as an empty target; any other url reads back as it
+    was. Headers carry the date given, or else the time of the call. Other columns
     are not read. Each task writes one file; an empty table gives an archive without
     records.
     """
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     body = F.coalesce(F.col(payload), F.lit("")).cast("string")
     headers = pages.select("page_id", F.sha2(body.cast("binary"), 256).alias("payload_digest"), F.octet_length(body).cast("long").alias("payload_bytes"))
     # Copies, and their targets: all that the writer has to know beside the page itself.
-    decided = resolve(headers, smallest).where("record_type = 'revisit'").select("page_id", "payload_digest", "refers_to").distinct()
+    decided = resolve(headers, smallest).where("record_type = 'revisit'").select(F.col("page_id").alias("of"), F.col("payload_digest").alias("held"), "refers_to").distinct()
     digest = F.sha2(body.cast("binary"), 256)
     rows = pages.select("page_id", _clean("url").alias("target"), body.alias("body"), digest.alias("payload_digest"))
-    rows = rows.join(decided, ["page_id", "payload_digest"], "left")
+    rows = rows.join(decided, F.col("page_id").eqNullSafe(F.col("of")) & (F.col("payload_digest") == F.col("held")), "left")
     revisit = F.col("refers_to").isNotNull()
     head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length("body").cast("string"), F.lit("\r\n\r\n"))
     block = F.when(revisit, head).otherwise(F.concat(head, F.col("body")))
@@ -89,10 +95,11 @@ _ROW = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type",
 _DDL = "page_id long, url string, record_type string, payload_digest string, declared_digest string, payload_bytes long, refers_to long, payload binary"
 
 
+_CODE = re.compile("|".join(_CODES.values()))
+
+
 def _unclean(value: bytes) -> str:
-    for code, char in ((b"%20", b" "), (b"%00", b"\x00"), (b"%0A", b"\n"), (b"%0D", b"\r"), (b"%250", b"%0")):
-        value = value.replace(code, char)
-    return value.decode("utf-8", "replace")
+    return _CODE.sub(lambda m: chr(int(m[0][1:], 16)), value.decode("utf-8", "replace"))
 
 
 def _parse(buffer: bytearray, at: int, with_payload: bool) -> tuple[dict | None, int]:
