@@ -1,15 +1,18 @@
 """SentencePiece encoding and decoding with a batched numpy Viterbi.
 
-A text is written with "▁" for spaces and one in front, and cut before each run of
-"▁"; no piece may cross such a cut, so units can be solved alone. Distinct units of
-equal length advance together: at each place the hashes of all substrings that end there
-are probed in the sorted keys of the pieces, and the best sum of scores and its piece are
-stored for all units at once. Characters without a piece fall back to their bytes. Decoding gives back
-the exact text, literal "▁" and runs of white space included.
-
-A model whose own scores are ranks of merges (BPE) has no probabilities; for it a piece
-of rank r scores -log(r + 2). The segmentation is then the best under those scores,
-which need not be the one that replaying merges gives.
+A text is written with "▁" for spaces and one in front, and cut where no piece can cross:
+before each run of "▁", and between two characters that stand side by side in no piece. So units
+can be solved alone. Distinct units of equal length advance together: at each place the
+hashes of all substrings that end there are probed in the sorted keys of the pieces, and
+the best sum of scores and its piece are stored for all units at once. Characters without a
+piece fall back to their bytes. Decoding gives back the exact text, literal "▁" and runs of
+white space included.
+
+A model of merges (BPE) has ranks in place of scores. Its encoding is the only sequence
+of pieces in which each two neighbours, merged anew, would stay as they are; every prefix of a
+unit has one such sequence. So there a step scores 0 if the piece may follow the one that ends
+where it begins, and nothing otherwise, and the maximum gives the ids of the merges themselves.
+Verdicts on pairs of pieces are remembered.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from foliolens.llm.common import small_batches, table
+from foliolens.llm.common import mix, quoted, small_batches, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK, LITERAL = "▁", "\udc81"  # the second, which no text holds, stands for a literal mark
@@ -35,12 +38,20 @@ _CROSSING = re.compile(f"[^{MARK}]{MARK}")
 
 
 class Pieces:
-    """A vocabulary: sorted hashes of pieces with their ids and scores, byte ids, and bytes of each id."""
+    """A vocabulary: sorted hashes of pieces with their ids and scores, byte ids, and bytes of each id.
 
-    def __init__(self, pieces: list[str], scores: list[float], byte_ids: list[int], special: set[int]) -> None:
-        usable = [i for i in range(len(pieces)) if i not in special and i not in set(byte_ids) and pieces[i]]
+    merges: scores are ranks, the highest merges first. Pieces are then known by their place in the
+    sorted keys: rank (-1: a single character), left and right (the two that merge to it).
+    """
+
+    def __init__(self, pieces: list[str], scores: list[float], byte_ids: list[int], special: set[int], merges: bool = False) -> None:
+        bytes_too = set(byte_ids)
+        usable = [i for i in range(len(pieces)) if i not in special and i not in bytes_too and pieces[i]]
         if any(_CROSSING.search(pieces[i]) for i in usable):
             raise ValueError("a piece holds a space after another character; units cannot be cut at spaces")
+        if merges:
+            halves = _halves({pieces[i]: scores[i] for i in usable})
+            usable = [i for i in usable if pieces[i] in halves]
         self.longest = max((len(pieces[i]) for i in usable), default=1)
         keys = np.array([self._hash(pieces[i]) for i in usable], np.uint64)
         order = np.argsort(keys)
@@ -48,11 +59,24 @@ class Pieces:
             raise ValueError("two pieces have one hash")
         self.keys, self.ids = keys[order], np.array(usable, np.int64)[order]
         self.scores = np.array([scores[i] for i in usable], np.float64)[order]
+        self.lengths = np.array([len(pieces[i]) for i in usable], np.int64)[order]
         self.byte_ids = np.array(byte_ids, np.int64)
         self.fallback = float(self.scores.min() if len(usable) else -10.0) - 1.0  # of each byte
         self.spelled = [b"" if i in special else pieces[i].replace(MARK, " ").encode() for i in range(len(pieces))]
         for byte, i in enumerate(byte_ids):
             self.spelled[i] = bytes([byte])
+        #: Pairs of characters that stand side by side in a piece.
+        self.inner = np.unique(np.array([ord(a) << 32 | ord(b) for i in usable for a, b in zip(pieces[i], pieces[i][1:])], np.int64))
+        self.merges = merges
+        if merges:
+            place = {pieces[usable[k]]: n for n, k in enumerate(order.tolist())}
+            own = [pieces[usable[k]] for k in order.tolist()]
+            by_score = np.argsort(-self.scores, kind="stable")
+            self.rank = np.empty(len(own), np.int64)
+            self.rank[by_score] = np.arange(len(own))
+            self.rank[self.lengths == 1] = -1
+            self.left = np.array([place[halves[x][0]] if halves[x] else -1 for x in own], np.int64)
+            self.right = np.array([place[halves[x][1]] if halves[x] else -1 for x in own], np.int64)
 
     @classmethod
     def load(cls, path: str) -> Pieces:
@@ -65,10 +89,8 @@ class Pieces:
             raise ValueError("the model has no byte fallback, so not every text can be given back")
         special = {i for i in n if model.is_control(i) or model.is_unknown(i) or model.is_unused(i)}
         scores = [model.get_score(i) for i in n]
-        usual = [i for i in n if i not in special and not model.is_byte(i)]
-        if all(float(scores[i]).is_integer() for i in usual):
-            scores = [-float(np.log(2.0 - min(0.0, s))) for s in scores]
-        return cls([model.id_to_piece(i) for i in n], scores, [bytes_of[b] for b in range(256)], special)
+        merges = all(float(scores[i]).is_integer() for i in n if i not in special and not model.is_byte(i))
+        return cls([model.id_to_piece(i) for i in n], scores, [bytes_of[b] for b in range(256)], special, merges)
 
     def shared(self, spark: SparkSession):
         """A broadcast of plain arrays and lists: some MB at most, whatever the data."""
@@ -88,9 +110,75 @@ class Pieces:
             power = power * int(_R) & (2**64 - 1)
         return x
 
-
-def best_pieces(p: Pieces, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def may_follow(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """For pairs of pieces (places in keys; -1 for a character without one): do merges leave them as they are?
+
+        Merges are undone from the latest on, on either side of the cut; the pieces that meet at
+        the cut must not have merged before the next one was made.
+        """
+        ok = np.ones(len(a), bool)
+        at = np.flatnonzero((a >= 0) & (b >= 0))
+        x, y, limit = a[at], b[at], np.full(len(at), np.iinfo(np.int64).max)
+        while len(at):
+            both = self.keys[x] + self.keys[y] * _POWERS[self.lengths[x]]
+            found = np.minimum(np.searchsorted(self.keys, both), len(self.keys) - 1)
+            merged = np.where(self.keys[found] == both, self.rank[found], np.iinfo(np.int64).max)
+            crossed = merged < limit
+            ok[at[crossed]] = False
+            rx, ry = self.rank[x], self.rank[y]
+            first = rx > ry
+            go = ~crossed & (first | (ry >= 0))
+            limit = np.where(first, rx, ry + 1)
+            x, y = np.where(first, self.right[x], x), np.where(first, y, self.left[y])
+            at, x, y, limit = at[go], x[go], y[go], limit[go]
+        return ok
+
+
+_POWERS = np.array([pow(int(_R), k, 1 << 64) for k in range(256)], np.uint64)
+
+
+def _halves(scores: dict[str, float]) -> dict[str, tuple[str, str] | None]:
+    """For each piece that merges can make of its own characters, the two pieces of the last merge (None: a character)."""
+    found: dict[str, tuple[str, str] | None] = {}
+    for piece in scores:
+        parts, last = list(piece), None
+        while len(parts) > 1:
+            best = max(range(len(parts) - 1), key=lambda k: (scores.get(parts[k] + parts[k + 1], -np.inf), -k))
+            if parts[best] + parts[best + 1] not in scores:
+                break
+            last = (parts[best], parts[best + 1])
+            parts[best : best + 2] = ["".join(last)]
+        if len(parts) == 1:
+            found[piece] = last
+    return found
+
+
+class Pairs:
+    """A direct-mapped memory of may_follow(): a pair's slot holds the last pair that was put there."""
+
+    SIZE = 1 << 20
+
+    def __init__(self, p: Pieces) -> None:
+        self.p, self.keys, self.said = p, np.full(self.SIZE, -1, np.int64), np.zeros(self.SIZE, bool)
+
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = (a + 1) << 24 | b
+        slot = (mix(key.view(np.uint64)) >> np.uint64(44)).astype(np.int64)
+        out, miss = self.said[slot], np.flatnonzero(self.keys[slot] != key)
+        if len(miss):
+            new, which = np.unique(key[miss], return_inverse=True)
+            said = self.p.may_follow((new >> 24) - 1, new & 0xFFFFFF)
+            out[miss] = said[which]
+            slot = (mix(new.view(np.uint64)) >> np.uint64(44)).astype(np.int64)
+            self.keys[slot], self.said[slot] = new, said
+            # Where two new pairs share a slot, numpy keeps one key; its verdict must be its own.
+            self.said[slot] = said[np.searchsorted(new, self.keys[slot])]
+        return out
+
+
+def best_pieces(p: Pieces, units: list[str], pairs: Pairs | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(ids, how many) of the units' best segmentations; of equal sums the one with the longer last piece."""
+    pairs = pairs or (Pairs(p) if p.merges else None)
     lengths = np.array([len(u) for u in units], np.int64)
     order = np.argsort(lengths, kind="stable")
     sizes, at = np.unique(lengths[order], return_index=True)
@@ -111,7 +199,7 @@ def best_pieces(p: Pieces, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
             size = np.where(codes < 0x80, 1, np.where(codes < 0x800, 2, np.where(codes < 0x10000, 3, 4))).T
             total = np.full((n + 1, len(own)), -np.inf)
             total[0] = 0
-            step, piece = np.zeros((n + 1, len(own)), np.int32), np.full((n + 1, len(own)), -1, np.int64)
+            step, piece = np.zeros((n + 1, len(own)), np.int32), np.full((n + 1, len(own)), -1, np.int64)  # piece: a place in keys
             rows = np.arange(len(own))
             for j in range(1, n + 1):
                 first = max(0, j - p.longest)  # the longest substring first, so that it wins ties
@@ -121,11 +209,15 @@ def best_pieces(p: Pieces, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
                 found = np.minimum(np.searchsorted(p.keys, probe), len(p.keys) - 1)
                 good = p.keys[found] == probe
                 x, y, found = x[good], y[good], found[good]
-                here, ids = np.full(hashes.shape, -np.inf), np.full(hashes.shape, -1, np.int64)
+                here, last = np.full(hashes.shape, -np.inf), np.full(hashes.shape, -1, np.int64)
                 here[-1] = total[j - 1] + size[j - 1] * p.fallback
-                here[x, y], ids[x, y] = total[first + x, y] + p.scores[found], p.ids[found]
+                last[x, y] = found
+                if p.merges:
+                    here[x, y] = np.where(pairs(piece[first + x, y], found), 0.0, -np.inf)
+                else:
+                    here[x, y] = total[first + x, y] + p.scores[found]
                 best = np.argmax(here, axis=0)
-                total[j], step[j], piece[j] = here[best, rows], j - first - best, ids[best, rows]
+                total[j], step[j], piece[j] = (0.0 if p.merges else here[best, rows]), j - first - best, last[best, rows]
             # All units walk back together; a place without a piece is spelled in bytes.
             where, steps = np.full(len(own), n), []
             while len(rows):
@@ -135,6 +227,7 @@ def best_pieces(p: Pieces, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
             who, ids, last = (np.concatenate([s[c] for s in steps[::-1]]) for c in range(3))
             sort = np.argsort(who, kind="stable")
             who, ids, last = who[sort], ids[sort], last[sort]
+            ids = np.where(ids < 0, -1, p.ids[ids] if len(p.ids) else -1)
             if (bare := ids < 0).any():
                 spelled = {c: p.byte_ids[list((MARK if chr(c) == LITERAL else chr(c)).encode())] for c in np.unique(last[bare]).tolist()}
                 longer = np.ones(len(ids), np.int64)
@@ -169,8 +262,25 @@ def taken(flat: np.ndarray, begins: np.ndarray, counts: np.ndarray) -> np.ndarra
     return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins - ends + counts, counts)]
 
 
-def _units(text: str) -> list[str]:
-    return _UNIT.findall(MARK + text.replace(MARK, LITERAL).replace(" ", MARK)) if text else []
+#: A unit longer than this is cut again, wherever no piece has the two characters at the cut.
+LONG = 24
+
+
+def _units(p: Pieces, text: str) -> list[str]:
+    if not text:
+        return []
+    found = _UNIT.findall(MARK + text.replace(MARK, LITERAL).replace(" ", MARK))
+    if max(map(len, found)) <= LONG:
+        return found
+    return [part for u in found for part in ([u] if len(u) <= LONG else _parted(p, u))]
+
+
+def _parted(p: Pieces, unit: str) -> list[str]:
+    codes = np.frombuffer(unit.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    pair = codes[:-1] << 32 | codes[1:]
+    at = np.minimum(np.searchsorted(p.inner, pair), len(p.inner) - 1)
+    cuts = [0, *(np.flatnonzero(p.inner[at] != pair) + 1).tolist(), len(unit)] if len(p.inner) else list(range(len(unit) + 1))
+    return [unit[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 class Known:
@@ -178,10 +288,13 @@ class Known:
 
     def __init__(self) -> None:
         self.number: dict[str, int] = {}
+        self.pairs: Pairs | None = None
         self.flat, self.begins, self.counts = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def learn(self, p: Pieces, new: list[str]) -> None:
-        flat, counts = best_pieces(p, new)
+        if p.merges and self.pairs is None:
+            self.pairs = Pairs(p)
+        flat, counts = best_pieces(p, new, self.pairs)
         self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
         self.begins = np.concatenate([self.begins, len(self.flat) + np.cumsum(counts) - counts])
         self.counts, self.flat = np.concatenate([self.counts, counts]), np.concatenate([self.flat, flat])
@@ -190,7 +303,7 @@ class Known:
 def encode(p: Pieces, texts: list[str | None], known: Known | None = None) -> list[np.ndarray]:
     """Ids of each text; null and empty texts have none."""
     known = known or Known()
-    split = [_units(t or "") for t in texts]
+    split = [_units(p, t or "") for t in texts]
     if len(known.number) > REMEMBERED:
         known.__init__()
     number = known.number
@@ -225,7 +338,7 @@ def encoded(docs: DataFrame, pieces: Pieces) -> DataFrame:
     """
     docs = docs.drop("ids")
     shared = pieces.shared(docs.sparkSession)
-    schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
+    schema = ", ".join(f"{quoted(n)} {t}" for n, t in docs.dtypes)
     return docs.mapInArrow(partial(_encoded, shared), f"{schema}, ids array<int>")
 
 
@@ -242,7 +355,7 @@ def decoded(rows: DataFrame, pieces: Pieces) -> DataFrame:
     """rows with decoded, the text of each row's ids."""
     rows = rows.drop("decoded")
     shared = pieces.shared(rows.sparkSession)
-    schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
+    schema = ", ".join(f"{quoted(n)} {t}" for n, t in rows.dtypes)
     return rows.mapInArrow(partial(_decoded, shared), f"{schema}, decoded string")
 
 
@@ -261,7 +374,11 @@ def _digested(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str, model: str = MODEL) -> DataFrame:
-    """Encodes every whole text and decodes it again: (doc_id, n_ids, n_byte_ids, ids_sha256, round_trip)."""
+    """Encodes every whole text and decodes it again: (doc_id, n_ids, n_byte_ids, ids_sha256, round_trip).
+
+    Null and empty texts have no ids and round_trip true. Null ids and repeated rows are kept, an empty table gives
+    no rows, other columns are not read. Very long texts are encoded whole, in time in proportion to their length.
+    """
     small_batches(spark)
     shared = Pieces.load(model).shared(spark)
     rows = table(spark, sf_dir, "documents").selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as string) as text")
