@@ -5,7 +5,11 @@ errors is split into k + 1 pieces; where it stands in a text with k errors at mo
 there exactly. An automaton finds all pieces of all items in one pass over the text, and each hit is verified
 with Myers' bit-parallel distance over the window that the piece's place implies.
 
-Items are taken in blocks of bounded size, each a narrow pass over the documents.
+Items are taken in blocks of bounded size. A block is broadcast once and held against all documents in a
+narrow pass; where there are several, what a pass found is written before the next, so a task holds
+one automaton at a time.
+
+An item of under LEAST characters is no passage but a word or less, as "the", and is not looked for.
 """
 
 from __future__ import annotations
@@ -17,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliolens.llm.common import small_batches, table
+from foliolens.llm.common import discard, quoted, small_batches, stored, table
 
 #: Errors allowed, as a share of an item's characters, and the shortest piece.
 RATE, SHORTEST = 0.06, 8
+#: The shortest item that is looked for, in characters with its white space folded: one piece.
+LEAST = SHORTEST
 #: About so many characters of items are in a block at most (one longer item is a block).
 BLOCK = 4_000_000
 
@@ -66,12 +72,12 @@ def distance(item: str, masks: dict[str, int], window: str, k: int) -> int:
 class Matcher:
     """The automaton of a block of (item_id, normal text)."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float) -> None:
+    def __init__(self, items: list[tuple[int, str]], rate: float, least: int = LEAST) -> None:
         import ahocorasick
 
         self.items, places = [], {}
         for item_id, item in items:
-            if not item:
+            if len(item) < max(1, least):
                 continue
             k = budget(len(item), rate)
             masks: dict[str, int] = {}
@@ -114,13 +120,13 @@ class Matcher:
 _HITS = "array<struct<item_id: bigint, distance: int>>"
 
 
-def _search(items: list[tuple[int, str]], rate: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    matcher = Matcher(items, rate)
+def _search(shared, rate: float, least: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    matcher = Matcher(shared.value, rate, least)
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32())]))
     for batch in batches:
         before = batch.column("hits").to_pylist()
         hits = [old + [{"item_id": i, "distance": d} for i, d in sorted(matcher.find(normal(t)).items())] for t, old in zip(batch.column("text").to_pylist(), before, strict=True)]
-        columns = [pa.array(hits, kind) if n == "hits" else batch.column(n) for n in batch.schema.names]
+        columns = [pa.array(hits, kind) if n == "hits" else batch.column(k) for k, n in enumerate(batch.schema.names)]
         yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
 
@@ -134,22 +140,26 @@ def blocks(benchmark: DataFrame, most: int = BLOCK) -> Iterator[list[tuple[int,
         yield sorted((r.item_id, normal(r.text)) for r in rows)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block: int = BLOCK) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block: int = BLOCK, least: int = LEAST) -> DataFrame:
     """docs with hits: the items that each text holds within their error budget, with the least distance.
 
-    Null and empty texts hold none. Repeated rows are treated alike; other columns are
-    carried, and one named hits is replaced. Items with equal texts are all reported. Without items no row has hits.
+    Null and empty texts hold none; very long ones are searched whole. Null ids are kept and repeated rows treated alike; other columns are
+    carried, and one named hits is replaced. Items with equal texts are all reported, items of under least characters never. Without items no row has hits.
     """
-    names = [n for n in docs.columns if n != "hits"]
-    out = docs.select(*names, F.array().cast(_HITS).alias("hits"))
-    schema = ", ".join(f"`{n}` {t}" for n, t in out.dtypes)
-    for items in blocks(benchmark, block):
-        out = out.mapInArrow(partial(_search, items, rate), schema)
+    out = docs.select(*(F.col(quoted(n)) for n in docs.columns if n != "hits"), F.array().cast(_HITS).alias("hits"))
+    schema, before = ", ".join(f"{quoted(n)} {t}" for n, t in out.dtypes), None
+    for k, items in enumerate(blocks(benchmark, block)):
+        if k:
+            out = stored(out, "hits")
+            if before is not None:
+                discard(before)
+            before = out
+        out = out.mapInArrow(partial(_search, docs.sparkSession.sparkContext.broadcast(items), rate, least), schema)
     return out
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, leaked, n_items, item_ids, min_distance) for every document."""
+    """(doc_id, leaked, n_items, item_ids, min_distance) for every document; min_distance is null where nothing is found."""
     small_batches(spark)
     out = matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", (F.size("hits") > 0).alias("leaked"), F.size("hits").cast("long").alias("n_items"), F.array_sort("hits.item_id").alias("item_ids"), F.array_min("hits.distance").alias("min_distance"))
