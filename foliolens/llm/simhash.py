@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliolens.llm.common import LOWER, small_batches, stored, table
+from foliolens.llm.common import LOWER, discard, small_batches, stored, table
 
 SHIFTS, WIDTHS = (0, 21, 42), (21, 21, 22)
 #: A key with more distinct fingerprints than this goes the other, exact way.
@@ -98,8 +98,8 @@ def shingle_hashes(text: bytes, size: int = 3) -> list[int]:
     return list(map(xxh, [joined[a : b - 1] for a, b in zip(starts, starts[size:])], repeat(42)))
 
 
-def fingerprints(texts: list[bytes]) -> np.ndarray:
-    """A signed 64-bit fingerprint for each text; zero where there is no word."""
+def fingerprints(texts: list[bytes], size: int = 3) -> np.ndarray:
+    """A signed 64-bit fingerprint for each text, of its runs of size words; zero where there is no word."""
     out = np.zeros(len(texts), np.int64)
     at, hashes, counts = [], [], []
 
@@ -113,7 +113,7 @@ def fingerprints(texts: list[bytes]) -> np.ndarray:
         at.clear(), hashes.clear(), counts.clear()
 
     for k, text in enumerate(texts):
-        if own := shingle_hashes(text):
+        if own := shingle_hashes(text, size):
             at.append(k)
             hashes += own
             counts.append(len(own))
@@ -159,7 +159,7 @@ def links(prints: DataFrame, crowded: int = CROWDED) -> DataFrame:
     prints: distinct fp. Every pair is found, or, within a crowded key, a chain of
     such pairs through the smallest fingerprint around each shared word.
     """
-    keys = prints.mapInArrow(_key_batches, "key long, fp long")
+    keys = stored(prints.mapInArrow(_key_batches, "key long, fp long"), "keys")  # read four times
     many = stored(keys.groupBy("key").count().where(F.col("count") > crowded).select("key"), "crowded")
     if many.isEmpty():
         usual, rest = keys, None
@@ -172,7 +172,10 @@ def links(prints: DataFrame, crowded: int = CROWDED) -> DataFrame:
         near = rest.mapInArrow(_neighbour_batches, "near long, fp long")
         first = near.groupBy("near").agg(F.min("fp").alias("a"), F.max("fp").alias("last")).where("a < last").select("near", "a")
         pairs = pairs.unionByName(near.join(first, "near").where("fp > a").select("a", F.col("fp").alias("b")))
-    return pairs.distinct()
+    found = stored(pairs.distinct(), "links")
+    discard(keys)
+    discard(many)
+    return found
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -190,7 +193,8 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.select(F.col("b").alias("node"), F.col("a").alias("other"))  # each node and its smaller neighbours
         least = down.groupBy("node").agg(F.min("other").alias("m"))
         small = down.join(least, "node").select(F.col("m").alias("a"), F.explode(F.array("node", "other")).alias("b")).where("a < b").distinct()
-        edges = stored(small, "edges")
+        before, edges = edges, stored(small, "edges")
+        discard(before)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(now) == mark:
             return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
@@ -203,11 +207,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     component_id is the smallest doc_id that links of two bits or fewer reach. Equal
     fingerprints are linked, zeros (null, empty and blank texts) like any other. Repeated
     rows stay; a null doc_id is never a component_id unless its whole component has none.
-    Other columns are not read.
+    Very long texts are fingerprinted whole, an empty table gives no rows. Other columns are not read.
     """
     prints = stored(document_prints(docs), "prints")
     distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = components(links(distinct.select("fp")))
+    found = links(distinct.select("fp"))
+    roots = components(found)
+    discard(found)
     known = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = known.groupBy("root").agg(F.min("first").alias("component_id"))
     named = known.join(named, "root").select("fp", "component_id")
