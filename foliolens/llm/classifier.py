@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliolens.llm.common import crc_mod, mix, range_hash, slices, small_batches, table, text_bytes, word_spans
+from foliolens.llm.common import crc_mod, discard, hash_sample, mix, quoted, range_hash, slices, small_batches, stored, table, text_bytes, word_spans
 from foliolens.llm.quality_rules import labelled
 
 SAMPLE = 3000
@@ -70,10 +70,14 @@ def index_vectors() -> np.ndarray:
     return out
 
 
-def word_vectors(texts: pa.Array) -> np.ndarray:
-    """Each slot's own index vector, plus those of terms beside it, scaled by how often it stood."""
+#: Slots are summed in blocks of so many, one row for each task and block.
+BLOCK = 2048
+
+
+def neighbours(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """For each slot, the sum of the index vectors of terms beside it, and how often it stood."""
     index = index_vectors()
-    total, seen = np.zeros_like(index), np.zeros(len(index))
+    total, seen = np.zeros_like(index), np.zeros(len(index), np.float32)
     for a, n in slices(texts):
         words, shapes, marks, counts = terms(texts.slice(a, n))
         owner = np.repeat(np.arange(len(counts)), counts)
@@ -86,7 +90,12 @@ def word_vectors(texts: pa.Array) -> np.ndarray:
             np.add.at(seen, y[b], 1)
         np.add.at(total, marks, index[shapes])
         np.add.at(seen, marks, 1)
-    return (2 * index + total / np.maximum(1, np.sqrt(seen))[:, None] / 4).astype(np.float32)
+    return total, seen
+
+
+def word_vectors(total: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Each slot's own index vector, plus those of terms beside it, scaled by how often it stood."""
+    return (2 * index_vectors() + total / np.maximum(1, np.sqrt(seen))[:, None] / 4).astype(np.float32)
 
 
 def pooled(texts, vectors: np.ndarray) -> np.ndarray:
@@ -142,21 +151,52 @@ def predict(net: dict | None, x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(np.clip(-_forward(net, x)[1] / net["temperature"], -500, 500)))
 
 
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, sums): of each block of slots, vectors' sums and counts over all of a task's texts. All are whole numbers, so their order does not matter."""
+    total, seen = np.zeros((SLOTS + SHAPES + MARKS, WIDTH), np.float32), np.zeros(SLOTS + SHAPES + MARKS, np.float32)
+    for batch in batches:
+        for x, y in zip((total, seen), neighbours(batch.column("text")), strict=True):
+            x += y
+    both = np.concatenate([total, seen[:, None]], axis=1)
+    for k in range(0, len(both), BLOCK):
+        if both[k : k + BLOCK].any():
+            yield pa.RecordBatch.from_pydict({"block": pa.array([k // BLOCK], pa.int32()), "sums": pa.array([both[k : k + BLOCK].tobytes()], pa.binary())})
+
+
+def _added(table: pa.Table) -> pa.Table:
+    sums = sum(np.frombuffer(x.as_py(), np.float32) for x in table.column("sums"))
+    return pa.table({"block": table.column("block").slice(0, 1), "sums": pa.array([sums.tobytes()], pa.binary())})
+
+
+def _features(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column("text")
+        x = np.concatenate([np.zeros((0, 3 * WIDTH + 1), np.float32), *(pooled(texts.slice(a, n), shared.value) for a, n in slices(texts))])
+        yield pa.RecordBatch.from_arrays([batch.column("place"), batch.column("good"), pa.array([r.tobytes() for r in x], pa.binary())], ["place", "good", "x"])
+
+
 def train(docs: DataFrame, labels: DataFrame, allowed: F.Column, limit: int = SAMPLE) -> tuple[np.ndarray, dict | None]:
     """(slots' vectors, network) from about limit labelled rows at most, of those allowed (a condition on doc_id).
 
-    A document labelled more than once counts as good if all its labels are. With labels
-    of one kind only, or none, there is no network and every score is 0.5.
+    Texts stay on the executors: the driver gets the sums of vectors (7 MB at most) and a row of 145 numbers for each
+    text. Equal rows of one id count once. A document labelled more than once counts as good if all its labels are.
+    With labels of one kind only, or none, there is no network and every score is 0.5.
     """
-    rows = labelled(docs, labels, limit, allowed).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "good").orderBy("doc_id", "text").limit(2 * limit).toArrow()
-    texts = rows.column("text").combine_chunks().cast(pa.string()) if rows.num_rows else pa.array([], pa.string())
-    if isinstance(texts, pa.ChunkedArray):
-        texts = pa.concat_arrays(texts.chunks)
-    good = np.array(rows.column("good").to_pylist(), bool)
-    vectors = word_vectors(texts)
+    spark = docs.sparkSession
+    rows = labelled(docs, labels, limit, allowed).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "good", F.xxhash64(F.lit(5), "doc_id", "text").alias("place")).distinct()
+    sample = stored(hash_sample(rows, 2 * limit, "place").coalesce(8), "sample")
+    both = np.zeros((SLOTS + SHAPES + MARKS, WIDTH + 1), np.float32)
+    for r in sample.select("text").mapInArrow(_summed, "block int, sums binary").groupBy("block").applyInArrow(_added, "block int, sums binary").collect():
+        own = np.frombuffer(r.sums, np.float32).reshape(-1, WIDTH + 1)
+        both[r.block * BLOCK : r.block * BLOCK + len(own)] = own
+    vectors = word_vectors(both[:, :-1], both[:, -1])
+    shared = spark.sparkContext.broadcast(vectors)
+    rows = sorted(sample.mapInArrow(partial(_features, shared), "place long, good boolean, x binary").collect())
+    discard(sample)
+    good = np.array([r.good for r in rows], bool)
     if good.all() or not good.any():
         return vectors, None
-    x = np.concatenate([pooled(texts.slice(a, n), vectors) for a, n in slices(texts)])
+    x = np.stack([np.frombuffer(r.x, np.float32) for r in rows])
     return vectors, fit(x, good, np.arange(len(good)) % 5 == 4)
 
 
@@ -171,12 +211,12 @@ def _score(vectors, net, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 def scored(docs: DataFrame, model: tuple[np.ndarray, dict | None]) -> DataFrame:
     """docs with score, a probability that the text is good; a narrow operation.
 
-    Only text is looked at. Null and empty texts are scored as texts without words.
-    Repeated rows get equal scores; a column of docs named score is replaced.
+    Only text is looked at, and the whole of it however long. Null and empty texts are scored as texts without words.
+    Null ids are kept, an empty table gives no rows. Repeated rows get equal scores; a column of docs named score is replaced.
     """
     docs = docs.drop("score")
     shared = docs.sparkSession.sparkContext.broadcast(model[0])  # 7 MB, whatever the data
-    schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
+    schema = ", ".join(f"{quoted(n)} {t}" for n, t in docs.dtypes)
     return docs.mapInArrow(partial(_score, shared, model[1]), f"{schema}, score double")
 
 
