@@ -16,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from foliolens.llm.common import crc_mod, discard, hash_sample, mix, quoted, range_hash, slices, small_batches, stored, table, text_bytes, word_spans
+from foliolens.llm.common import crc_mod, discard, hash_sample, mix, range_hash, slices, small_batches, stored, table, text_bytes, with_field, word_spans
 from foliolens.llm.quality_rules import labelled
 
 SAMPLE = 3000
@@ -216,8 +217,7 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, dict | None]) -> DataFrame:
     """
     docs = docs.drop("score")
     shared = docs.sparkSession.sparkContext.broadcast(model[0])  # 7 MB, whatever the data
-    schema = ", ".join(f"{quoted(n)} {t}" for n, t in docs.dtypes)
-    return docs.mapInArrow(partial(_score, shared, model[1]), f"{schema}, score double")
+    return docs.mapInArrow(partial(_score, shared, model[1]), with_field(docs, "score", T.DoubleType()))
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ import uuid
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Java regular expression for a run of the six ASCII white-space characters.
 WS = r"[\x20\x09-\x0D]+"
@@ -83,6 +84,11 @@ def own_columns(df: DataFrame) -> list[Column]:
     return [F.col(quoted(c)) for c in df.columns]
 
 
+def with_field(df: DataFrame, name: str, kind) -> T.StructType:
+    """df's schema with one more field: unlike DDL, it takes columns and fields of any name."""
+    return T.StructType([*df.schema.fields, T.StructField(name, kind)])
+
+
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 

@@ -147,7 +147,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block: in
     carried, and one named hits is replaced. Items with equal texts are all reported, items of under least characters never. Without items no row has hits.
     """
     out = docs.select(*(F.col(quoted(n)) for n in docs.columns if n != "hits"), F.array().cast(_HITS).alias("hits"))
-    schema, before = ", ".join(f"{quoted(n)} {t}" for n, t in out.dtypes), None
+    schema, before = out.schema, None
     for k, items in enumerate(blocks(benchmark, block)):
         if k:
             out = stored(out, "hits")

@@ -1,13 +1,15 @@
-"""Near copies by the true similarity of shingle sets: a prefix-filtered join, verified.
+"""Near copies by the true similarity of shingle sets: SimHash first, then a prefix-filtered join, all verified.
 
-A text is the set of its runs of five words. Of two sets with a Jaccard similarity of 0.8 or more
+A text is the set of its runs of five words; equal sets are one node. SimHash fingerprints of these runs,
+joined by their Golay-code keys, link most of what is almost equal at little cost. They reach few pairs near
+the limit, so what they leave is found by prefixes: of two sets with a Jaccard similarity of 0.8 or more
 whose members are put in one order, the first n - ceil(0.8 n) + 1 have one in common. So
 these are a text's keys, and no such pair is missed whatever the order. Runs that are common in
-a sample of the texts come last in it, so keys are rare. Pairs of a key are narrowed by size
-and place, and verified on the whole sets.
+a sample of the texts come last in it, so keys are rare. Pairs of a key are narrowed by size, place
+and a sketch of the sets, and every link is verified on the whole sets.
 
-Equal sets are one node. A key of very many nodes is not expanded into pairs: its nodes are held
-against a few of them first, and then only those outside its largest component against all.
+Nodes that are connected already need no further link, so such pairs are left out. A key of many nodes is not expanded into pairs:
+its nodes are held against a few of them first, and then only those outside its largest component against all.
 """
 
 from __future__ import annotations
@@ -20,17 +22,23 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from foliolens.llm.common import discard, release, stored
-from foliolens.llm.simhash import components, shingle_hashes
+from foliolens.llm import simhash
+from foliolens.llm.common import discard, quoted, release, stored
+from foliolens.llm.simhash import components, fingerprints, shingle_hashes
 
 SIZE = 5
 #: The similarity that links, as a fraction.
 SIMILAR = (4, 5)
 SAMPLE, COMMON = 2000, 3
 #: A key with more nodes than this is not expanded into pairs at first.
-CROWDED = 100
+CROWDED = 24
 REPRESENTATIVES = 4
+#: Ids of eight bytes that are broadcast at most; more of them are joined by a shuffle.
+FEW = 1_000_000
+#: Digests that a task remembers at most.
+REMEMBERED = 1_000_000
 
 
 def shingle_set(text: bytes, size: int = SIZE) -> np.ndarray:
@@ -72,30 +80,57 @@ def prefix(own: np.ndarray, common: tuple[np.ndarray, np.ndarray], similar: tupl
     return own[np.argsort(rank, kind="stable")[:keep]]
 
 
-def _with_keys(size: int, similar: tuple[int, int], shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketch(own: np.ndarray) -> bytes:
+    """The parity of a set's members in each of 512 bins: two sets differ in as many members, at least, as their sketches in bits."""
+    counts = np.bincount((own >> np.uint64(20) & np.uint64(511)).astype(np.int64), minlength=512)
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
+
+
+def _with_nodes(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from xxhash import xxh3_128_digest
 
-    common = shared.value
     for batch in batches:
-        sets = [shingle_set(x, size) for x in _bytes_of(pc.struct_field(batch.column("row"), "text"))]
-        columns = [pa.array([xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array([prefix(x, common, similar).tobytes() for x in sets], pa.binary())]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "node", "n", "keys"])
+        texts = _bytes_of(pc.struct_field(batch.column("row"), "text"))
+        sets = [shingle_set(x, size) for x in texts]
+        columns = [pa.array([xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array(fingerprints(texts, size), pa.int64()), pa.array([_sketch(x) for x in sets], pa.binary())]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "node", "n", "fp", "sketch"])
+
+
+#: What a key says of a node (its first eight bytes, its size, and where the key stands in its prefix).
+_KEY_DDL = "key long, nid long, n int, place int"
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keys(size: int, similar: tuple[int, int], shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    common, seen = shared.value, set()
     for batch in batches:
-        for k in range(0, len(batch), 256):
-            part = batch.slice(k, 256)
-            sets = [np.frombuffer(x, np.int64) for x in part.column("keys").to_pylist()]
-            counts = np.array([len(x) for x in sets])
-            which = np.repeat(np.arange(len(sets)), counts)
+        for a in range(0, len(batch), 256):
+            part = batch.slice(a, 256)
+            nodes, texts = part.column("node").to_pylist(), _bytes_of(part.column("text"))
+            new = [k for k, x in enumerate(nodes) if x not in seen and not seen.add(x)]  # copies within a task give their keys once
+            sets = [shingle_set(texts[k], size) for k in new]
+            keys = [prefix(x, common, similar) for x in sets]
+            counts = np.array([len(x) for x in keys], np.int64)
+            which = np.repeat(np.arange(len(keys)), counts)
+            nids = np.array([_nid(nodes[k]) for k in new], np.int64)
+            sizes = np.array([len(x) for x in sets], np.int32)
             place = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), part.column("node").take(pa.array(which)), part.column("n").take(pa.array(which)), pa.array(place)], ["key", "node", "n", "place"])
+            flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(nids[which]), pa.array(sizes[which]), pa.array(place.astype(np.int32))], ["key", "nid", "n", "place"])
+            if len(seen) > REMEMBERED:
+                seen.clear()
+
+
+def _nid(node: bytes) -> int:
+    return int.from_bytes(node[:8], "big", signed=True)
+
+
+def nid_of(node: str) -> F.Column:
+    return F.conv(F.hex(F.substring(node, 1, 8)), 16, -10).cast("long")
 
 
 def _sets(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([shingle_set(x, size).tobytes() for x in _bytes_of(batch.column("text"))], pa.binary())], ["node", "own"])
+        yield pa.RecordBatch.from_arrays([batch.column("nid"), batch.column("node"), pa.array([shingle_set(x, size).tobytes() for x in _bytes_of(batch.column("text"))], pa.binary())], ["nid", "node", "own"])
 
 
 def _verified(similar: tuple[int, int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,15 +143,34 @@ def _verified(similar: tuple[int, int], batches: Iterator[pa.RecordBatch]) -> It
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _sketched(similar: tuple[int, int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Leaves out pairs whose sketches differ in more bits than similar sets can in members."""
+    p, q = similar
+    for batch in batches:
+        if not len(batch):
+            continue
+        x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(-1, 8) for k in ("sa", "sb"))
+        differ = np.bitwise_count(x ^ y).sum(axis=1)
+        sizes = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+        # |x - y| + |y - x| <= (1 - s) / (1 + s) * (|x| + |y|) for a similarity s = p / q or more.
+        yield batch.select(["a", "b"]).filter(pa.array((q + p) * differ <= (q - p) * sizes))
+
+
 def verified(pairs: DataFrame, rows: DataFrame, size: int = SIZE, similar: tuple[int, int] = SIMILAR) -> DataFrame:
-    """The (a, b) of pairs whose whole shingle sets are similar, stored."""
-    pairs = stored(pairs.distinct(), "pairs")
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    texts = rows.select("node", F.col("row.text").cast("string").alias("text")).join(nodes, "node", "left_semi").dropDuplicates(["node"])
-    sets = stored(texts.mapInArrow(partial(_sets, size), "node binary, own binary"), "sets")
-    a, b = (sets.select(F.col("node").alias(k), F.col("own").alias(f"of_{k}")) for k in "ab")
+    """(a, b), the nodes of those pairs of nids whose whole shingle sets are similar; stored."""
+    light = rows.select(nid_of("node").alias("nid"), "node", "n", "sketch").dropDuplicates(["node"])
+    a, b = (light.select(F.col("nid").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}")) for k in "ab")
+    pairs = stored(pairs.distinct().join(a, "a").join(b, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(partial(_sketched, similar), "a long, b long").distinct(), "pairs")
     release(rows.sparkSession)
-    found = stored(pairs.join(a, "a").join(b, "b").select("a", "b", "of_a", "of_b").mapInArrow(partial(_verified, similar), "a binary, b binary"), "links")
+    nids = pairs.select(F.col("a").alias("nid")).union(pairs.select("b")).distinct()
+    if nids.count() <= FEW:
+        nids = F.broadcast(nids)  # 8 MB at most; texts then need not move
+    texts = rows.select(nid_of("node").alias("nid"), "node", F.col("row.text").cast("string").alias("text")).join(nids, "nid", "left_semi")
+    sets = stored(texts.mapInArrow(partial(_sets, size), "nid long, node binary, own binary").dropDuplicates(["node"]), "sets")
+    release(rows.sparkSession)
+    a, b = (sets.select(F.col("nid").alias(f"nid_{k}"), F.col("node").alias(k), F.col("own").alias(f"of_{k}")) for k in "ab")
+    found = pairs.toDF("nid_a", "nid_b").join(a, "nid_a").join(b, "nid_b").where("a <> b").select("a", "b", "of_a", "of_b").mapInArrow(partial(_verified, similar), "a binary, b binary")
+    found = stored(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     discard(pairs)
     discard(sets)
     release(rows.sparkSession)
@@ -124,69 +178,83 @@ def verified(pairs: DataFrame, rows: DataFrame, size: int = SIZE, similar: tuple
 
 
 def _pairs(left: DataFrame, right: DataFrame, similar: tuple[int, int], once: bool = True) -> DataFrame:
-    """(a, b), a < b, of rows of both sides that share a key and that size and place let be similar."""
+    """(a, b), a < b, of rows of both sides that share a key, are not connected yet, and that size and place let be similar."""
     p, q = similar
-    a = left.select("key", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("place").alias("px"))
-    b = right.select("key", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("place").alias("py"))
-    fits = F.expr(f"{q} * least(nx, ny) >= {p} * greatest(nx, ny) and {p + q} * least(nx - px, ny - py) >= {p} * (nx + ny)")
+    a = left.select("key", F.col("nid").alias("x"), F.col("n").alias("nx"), F.col("place").alias("px"), F.col("root").alias("rx"))
+    b = right.select("key", F.col("nid").alias("y"), F.col("n").alias("ny"), F.col("place").alias("py"), F.col("root").alias("ry"))
+    fits = F.expr(f"{q} * least(nx, ny) >= {p} * greatest(nx, ny) and {p + q} * least(nx - px, ny - py) >= {p} * (nx + ny) and rx <> ry")
     differ = F.col("x") < F.col("y") if once else F.col("x") != F.col("y")
     return a.join(b, "key").where(differ & fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def links(rows: DataFrame, size: int = SIZE, similar: tuple[int, int] = SIMILAR, crowded: int | None = None) -> DataFrame:
-    """(a, b) of similar nodes; within a key of over crowded nodes, enough of them to connect all that are connected."""
-    crowded = CROWDED if crowded is None else crowded
-    keys = stored(rows.select("node", "n", "keys").mapInArrow(_keys, "key long, node binary, n long, place long").distinct(), "keys")
-    release(rows.sparkSession)
-    counts = keys.groupBy("key").count()
-    many = stored(counts.where(F.col("count") > crowded).select("key"), "crowded")
-    some = keys.join(counts.where(F.col("count").between(2, crowded)).select("key"), "key", "left_semi")
+def rooted(keys: DataFrame, roots: DataFrame) -> DataFrame:
+    """keys with root: the component of its node as far as known, or the node itself. Nodes with one nid and two roots count as not connected."""
+    known = roots.groupBy(nid_of("node").alias("nid")).agg(F.min("root").alias("root"), F.max("root").alias("last")).where("root = last").select("nid", nid_of("root").alias("root"))
+    return keys.join(known, "nid", "left").withColumn("root", F.coalesce("root", "nid"))
+
+
+def simhash_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b): nids whose fingerprints are equal or linked within two bits, as far as is needed to connect them."""
+    prints = stored(rows.select("fp", nid_of("node").alias("nid")).distinct(), "prints")
+    first = prints.groupBy("fp").agg(F.min("nid").alias("a"))
+    near = simhash.links(first.select("fp"))
+    same = prints.join(first, "fp").select("a", F.col("nid").alias("b"))
+    other = near.join(first.toDF("a", "x"), "a").join(first.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return same.unionByName(other).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def links(rows: DataFrame, common, size: int = SIZE, similar: tuple[int, int] = SIMILAR, crowded: int | None = None) -> DataFrame:
+    """(a, b) of similar nodes: enough of them to connect all that are connected."""
+    crowded, spark = CROWDED if crowded is None else crowded, rows.sparkSession
+    found = verified(simhash_pairs(rows), rows, size, similar)
+    every = rows.select("node", F.col("row.text").cast("string").alias("text")).mapInArrow(partial(_keys, size, similar, spark.sparkContext.broadcast(common)), _KEY_DDL)
+    # Most keys are those of one node only; they go before anything is joined.
+    shared = stored(every.groupBy("key").agg(F.min("nid").alias("lo"), F.max("nid").alias("hi")).where("lo < hi").select("key"), "shared")
+    release(spark)
+    keys = stored(rooted(every.join(shared, "key", "left_semi").distinct(), components(found)), "keys")
+    discard(shared)
+    release(spark)
+    # A key all of whose nodes are connected has nothing to add.
+    counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+    counts = stored(counts.select("key", "c"), "counts")
+    some = keys.join(counts.where(F.col("c") <= crowded).select("key"), "key", "left_semi")
+    members = stored(keys.join(counts.where(F.col("c") > crowded).select("key"), "key", "left_semi"), "members")
     pairs = _pairs(some, some, similar)
-    if many.isEmpty():
-        found = verified(pairs, rows, size, similar)
-        discard(keys)
-        return found
-    members = stored(keys.join(many, "key", "left_semi"), "members")
-    first = members.groupBy("key").agg(F.array_distinct(F.array(*(F.min(F.struct(F.xxhash64(F.lit(k), "node").alias("h"), "node", "n", "place")) for k in range(REPRESENTATIVES)))).alias("r"))
-    first = first.select("key", F.explode("r").alias("r")).select("key", "r.node", "r.n", "r.place").distinct()
-    found = verified(pairs.unionByName(_pairs(first, members, similar, once=False)), rows, size, similar)
+    if members.isEmpty():
+        more = verified(pairs, rows, size, similar)
+        for x in (keys, counts, members):
+            discard(x)
+        return found.unionByName(more)
+    first = members.groupBy("key").agg(F.array_distinct(F.array(*(F.min(F.struct(F.xxhash64(F.lit(k), "nid").alias("h"), "nid", "n", "place", "root")) for k in range(REPRESENTATIVES)))).alias("r"))
+    first = first.select("key", F.explode("r").alias("r")).select("key", "r.nid", "r.n", "r.place", "r.root").distinct()
+    found = found.unionByName(verified(pairs.unionByName(_pairs(first, members, similar, once=False)), rows, size, similar))
     discard(keys)
-    roots = components(found)
-    named = stored(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "named")
+    named = stored(rooted(members.drop("root"), components(found)), "named")
     main = named.groupBy("key", "root").count().groupBy("key").agg(F.max(F.struct("count", "root")).alias("m")).select("key", F.col("m.root").alias("main"))
-    rest = named.join(main, "key").where("root <> main").select("key", "node", "n", "place", "root")
-    # Nodes that are connected already need no link; of the others no pair is left out.
-    root = named.select("node", "root").distinct()
-    more = _pairs(rest, members, similar, once=False).distinct()
-    more = more.join(root.toDF("a", "ra"), "a").join(root.toDF("b", "rb"), "b").where("ra <> rb").select("a", "b")
-    more = verified(more, rows, size, similar)
-    discard(members)
-    discard(named)
+    rest = named.join(main, "key").where("root <> main").select("key", "nid", "n", "place", "root")
+    more = verified(_pairs(rest, named, similar, once=False), rows, size, similar)
+    for x in (counts, members, named):
+        discard(x)
     return found.unionByName(more)
 
 
-def keyed(docs: DataFrame, size: int = SIZE, similar: tuple[int, int] = SIMILAR) -> DataFrame:
-    """Stored: rid (one for each row), row (docs' columns), node, n, keys."""
-    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, size))
-    own = docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*docs.columns).alias("row"))
-    kind = own.schema["row"].dataType.simpleString()
-    return stored(own.mapInArrow(partial(_with_keys, size, similar, shared), f"rid long, row {kind}, node binary, n long, keys binary"), "keyed")
-
-
 def survivors(docs: DataFrame, size: int = SIZE, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """One row of each component of texts linked by similarity; all of docs' columns.
 
     It is that with the smallest doc_id, nulls last; of rows that share it, that with the smallest
     hash of its text. Texts of fewer words than a shingle are similar if their words are equal,
-    texts without words always. Ids play no part in what is linked.
+    texts without words (null ones too) always. Ids play no part in what is linked, so rows that share or
+    lack an id are dropped only as copies. Columns may have any name and type; very long texts are compared whole; an empty table gives no rows.
     """
-    rows = keyed(docs, size, similar)
-    roots = components(links(rows, size, similar))
-    others = [F.col(f"row.`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    spark = docs.sparkSession
+    own = docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*(F.col(quoted(c)).alias(c) for c in docs.columns)).alias("row"))
+    more = [T.StructField("node", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("sketch", T.BinaryType())]
+    rows = stored(own.mapInArrow(partial(_with_nodes, size), T.StructType([*own.schema.fields, *more])), "rows")
+    roots = components(links(rows, common_shingles(docs, size), size, similar))
+    others = [F.to_json(F.struct(F.col(f"row.{quoted(c)}").alias(c))) if isinstance(docs.schema[c].dataType, T.MapType | T.ArrayType | T.StructType | T.VariantType) else F.col(f"row.{quoted(c)}").cast("string") for c in docs.columns if c not in ("doc_id", "text")]
     rank = F.struct(F.col("row.doc_id").isNull().alias("i"), F.col("row.doc_id").alias("d"), F.md5(F.col("row.text").cast("binary")).alias("t"), F.xxhash64(F.lit(1), *others).alias("o"), F.col("rid").alias("rid"))
     light = rows.select("node", "rid", rank.alias("rank")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = light.groupBy("root").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").select("root", F.col("first.rid").alias("stays"))
-    gone = light.select("root", "rid").join(first, "root").where("rid <> stays").select("rid")
-    gone = stored(gone, "gone")
-    release(docs.sparkSession)
-    return rows.join(gone, "rid", "left_anti").select("row.*")
+    gone = stored(light.select("root", "rid").join(first, "root").where("rid <> stays").select("rid"), "gone")
+    release(spark)
+    return rows.join(F.broadcast(gone) if gone.count() <= FEW else gone, "rid", "left_anti").select("row.*")
