@@ -21,12 +21,14 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
-from foliolens.llm.common import mix, quoted, small_batches, table
+from foliolens.llm.common import mix, small_batches, table, with_field
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK, LITERAL = "▁", "\udc81"  # the second, which no text holds, stands for a literal mark
@@ -34,6 +36,7 @@ MARK, LITERAL = "▁", "\udc81"  # the second, which no text holds, stands for a
 REMEMBERED = 400_000
 _UNIT = re.compile(f"{MARK}+[^{MARK}]*")
 _R = np.uint64(0x9E3779B97F4A7C15)
+_SPREAD = np.uint64(0xD6E8FEB86659FD93)  # so that the leading bits of short substrings differ too
 _CROSSING = re.compile(f"[^{MARK}]{MARK}")
 
 
@@ -106,7 +109,7 @@ class Pieces:
     def _hash(piece: str) -> int:
         x, power = 0, 1
         for c in piece:
-            x = (x + (ord(c) + 1) * power) & (2**64 - 1)
+            x = (x + (ord(c) + 1) * int(_SPREAD) * power) & (2**64 - 1)
             power = power * int(_R) & (2**64 - 1)
         return x
 
@@ -183,8 +186,11 @@ def best_pieces(p: Pieces, units: list[str], pairs: Pairs | None = None) -> tupl
     order = np.argsort(lengths, kind="stable")
     sizes, at = np.unique(lengths[order], return_index=True)
     inverse = np.uint64(pow(int(_R), -1, 1 << 64))
-    likely = np.zeros(1 << 20, bool)  # spares most probes of the sorted keys
-    likely[(p.keys >> np.uint64(44)).astype(np.int64)] = True
+    # Where the sorted keys with certain leading bits begin, and how many there are at most; most substrings meet none.
+    leading = (p.keys >> np.uint64(44)).astype(np.int64)
+    begins = np.full(1 << 20, -1, np.int32)
+    begins[leading[::-1]] = np.arange(len(leading), dtype=np.int32)[::-1]
+    together = int(np.bincount(leading).max()) if len(leading) else 0
     flat, counts = [], []
     for k, n in enumerate(sizes):
         group = order[at[k] : at[k + 1] if k + 1 < len(at) else len(order)]
@@ -195,7 +201,7 @@ def best_pieces(p: Pieces, units: list[str], pairs: Pairs | None = None) -> tupl
             own = group[b : b + width]
             codes = np.frombuffer("".join([units[i] for i in own]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(own), n)
             sums = np.zeros((n + 1, len(own)), np.uint64)
-            np.cumsum((codes.T.astype(np.uint64) + np.uint64(1)) * up[:n, None], axis=0, dtype=np.uint64, out=sums[1:])
+            np.cumsum((codes.T.astype(np.uint64) + np.uint64(1)) * (up[:n, None] * _SPREAD), axis=0, dtype=np.uint64, out=sums[1:])
             size = np.where(codes < 0x80, 1, np.where(codes < 0x800, 2, np.where(codes < 0x10000, 3, 4))).T
             total = np.full((n + 1, len(own)), -np.inf)
             total[0] = 0
@@ -204,10 +210,15 @@ def best_pieces(p: Pieces, units: list[str], pairs: Pairs | None = None) -> tupl
             for j in range(1, n + 1):
                 first = max(0, j - p.longest)  # the longest substring first, so that it wins ties
                 hashes = (sums[j] - sums[first:j]) * down[first:j, None]
-                x, y = np.nonzero(likely[(hashes >> np.uint64(44)).astype(np.int64)])
-                probe = hashes[x, y]
-                found = np.minimum(np.searchsorted(p.keys, probe), len(p.keys) - 1)
+                found = begins[(hashes >> np.uint64(44)).view(np.int64)]
+                x, y = np.nonzero(found >= 0)
+                probe, found = hashes[x, y], found[x, y]
                 good = p.keys[found] == probe
+                for more in range(1, together):
+                    rest = np.flatnonzero(~good)
+                    at_rest = np.minimum(found[rest] + more, len(p.keys) - 1)
+                    hit = p.keys[at_rest] == probe[rest]
+                    found[rest[hit]], good[rest[hit]] = at_rest[hit], True
                 x, y, found = x[good], y[good], found[good]
                 here, last = np.full(hashes.shape, -np.inf), np.full(hashes.shape, -1, np.int64)
                 here[-1] = total[j - 1] + size[j - 1] * p.fallback
@@ -241,9 +252,9 @@ def best_pieces(p: Pieces, units: list[str], pairs: Pairs | None = None) -> tupl
     if not len(units):
         return np.zeros(0, np.int32), how_many
     flat, counts = np.concatenate(flat), np.concatenate(counts)
-    begins = np.empty(len(units), np.int64)
-    begins[order], how_many[order] = np.cumsum(counts) - counts, counts
-    return taken(flat, begins, how_many), how_many
+    starts = np.empty(len(units), np.int64)
+    starts[order], how_many[order] = np.cumsum(counts) - counts, counts
+    return taken(flat, starts, how_many), how_many
 
 
 def _spell(spelled: dict[int, np.ndarray], last: np.ndarray) -> np.ndarray:
@@ -307,9 +318,10 @@ def encode(p: Pieces, texts: list[str | None], known: Known | None = None) -> li
     if len(known.number) > REMEMBERED:
         known.__init__()
     number = known.number
-    if new := list({u for units in split for u in units if u not in number}):
+    flat = list(chain.from_iterable(split))
+    if new := list(set(flat) - number.keys()):
         known.learn(p, new)
-    which = np.array([number[u] for units in split for u in units], np.int64)
+    which = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
     counts = known.counts[which]
     ids = taken(known.flat, known.begins[which], counts)
     cuts = np.concatenate([[0], np.cumsum(counts)])[np.concatenate([[0], np.cumsum([len(u) for u in split], dtype=np.int64)])]
@@ -338,8 +350,7 @@ def encoded(docs: DataFrame, pieces: Pieces) -> DataFrame:
     """
     docs = docs.drop("ids")
     shared = pieces.shared(docs.sparkSession)
-    schema = ", ".join(f"{quoted(n)} {t}" for n, t in docs.dtypes)
-    return docs.mapInArrow(partial(_encoded, shared), f"{schema}, ids array<int>")
+    return docs.mapInArrow(partial(_encoded, shared), with_field(docs, "ids", T.ArrayType(T.IntegerType())))
 
 
 def _decoded(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,8 +366,7 @@ def decoded(rows: DataFrame, pieces: Pieces) -> DataFrame:
     """rows with decoded, the text of each row's ids."""
     rows = rows.drop("decoded")
     shared = pieces.shared(rows.sparkSession)
-    schema = ", ".join(f"{quoted(n)} {t}" for n, t in rows.dtypes)
-    return rows.mapInArrow(partial(_decoded, shared), f"{schema}, decoded string")
+    return rows.mapInArrow(partial(_decoded, shared), with_field(rows, "decoded", T.StringType()))
 
 
 def _digested(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
