@@ -37,6 +37,8 @@ CROWDED = 24
 REPRESENTATIVES = 4
 #: Ids of eight bytes that are broadcast at most; more of them are joined by a shuffle.
 FEW = 1_000_000
+#: Pairs of one hub that a task gets, about.
+SPREAD = 500
 #: Digests that a task remembers at most.
 REMEMBERED = 1_000_000
 
@@ -128,19 +130,36 @@ def nid_of(node: str) -> F.Column:
     return F.conv(F.hex(F.substring(node, 1, 8)), 16, -10).cast("long")
 
 
-def _sets(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _placed(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The whole set of each text, with the hub that it goes to; a text that goes to several stands in rows that follow each other."""
+    last, own = None, b""
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column("nid"), batch.column("node"), pa.array([shingle_set(x, size).tobytes() for x in _bytes_of(batch.column("text"))], pa.binary())], ["nid", "node", "own"])
+        sets = []
+        for node, text in zip(batch.column("node").to_pylist(), _bytes_of(batch.column("text")), strict=True):
+            if node != last:
+                last, own = node, shingle_set(text, size).tobytes()
+            sets.append(own)
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("hub", "salt", "member", "node")), pa.array(sets, pa.binary())], ["hub", "salt", "member", "node", "own"])
 
 
-def _verified(similar: tuple[int, int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _against(similar: tuple[int, int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Holds members against their hub, which comes first; there are two only where two nodes share a nid."""
+    at, hubs = None, []
     for batch in batches:
-        keep = []
-        for x, y in zip(batch.column("of_a"), batch.column("of_b"), strict=True):
-            x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(similar[1] * both >= similar[0] * (len(x) + len(y) - both))
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        a, b = [], []
+        for hub, salt, member, node, own in zip(*(batch.column(k).to_pylist() for k in ("hub", "salt", "member", "node", "own")), strict=True):
+            if (hub, salt) != at:
+                at, hubs = (hub, salt), []
+            x = np.frombuffer(own, np.uint64)
+            if not member:
+                hubs.append((node, x))
+                continue
+            for other, y in hubs:
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if other != node and similar[1] * both >= similar[0] * (len(x) + len(y) - both):
+                    a.append(min(other, node))
+                    b.append(max(other, node))
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
 
 def _sketched(similar: tuple[int, int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,24 +175,44 @@ def _sketched(similar: tuple[int, int], batches: Iterator[pa.RecordBatch]) -> It
         yield batch.select(["a", "b"]).filter(pa.array((q + p) * differ <= (q - p) * sizes))
 
 
-def verified(pairs: DataFrame, rows: DataFrame, size: int = SIZE, similar: tuple[int, int] = SIMILAR) -> DataFrame:
-    """(a, b), the nodes of those pairs of nids whose whole shingle sets are similar; stored."""
-    light = rows.select(nid_of("node").alias("nid"), "node", "n", "sketch").dropDuplicates(["node"])
-    a, b = (light.select(F.col("nid").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}")) for k in "ab")
-    pairs = stored(pairs.distinct().join(a, "a").join(b, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(partial(_sketched, similar), "a long, b long").distinct(), "pairs")
+def held(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, size: int, similar: tuple[int, int]) -> DataFrame:
+    """(a, b), the nodes of those pairs of nids whose whole sets are similar; stored.
+
+    Sets move once, to the pair's first node, the hub. A hub of many pairs is spread over several tasks.
+    """
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(SPREAD)).cast("int").alias("k"))
+    members = pairs.join(sizes, "a").select(F.col("b").alias("nid"), F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), "k").cast("int").alias("salt"), F.lit(1).alias("member"))
+    hubs = sizes.select(F.col("a").alias("nid"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("salt"), F.lit(0).alias("member"))
+    places = stored(members.unionByName(hubs).join(nodes.select("nid", "node", "rid"), "nid").select("rid", "node", "hub", "salt", "member"), "places")
+    few = F.broadcast(places) if places.count() <= FEW else places  # 50 MB at most; texts then need not move
+    texts = rows.select("rid", F.col("row.text").cast("string").alias("text")).join(few, "rid")
+    sets = texts.select("hub", "salt", "member", "node", "text").mapInArrow(partial(_placed, size), "hub long, salt int, member int, node binary, own binary")
+    found = sets.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "member").mapInArrow(partial(_against, similar), "a binary, b binary")
+    found = stored(found.distinct(), "links")
+    discard(places)
     release(rows.sparkSession)
-    nids = pairs.select(F.col("a").alias("nid")).union(pairs.select("b")).distinct()
-    if nids.count() <= FEW:
-        nids = F.broadcast(nids)  # 8 MB at most; texts then need not move
-    texts = rows.select(nid_of("node").alias("nid"), "node", F.col("row.text").cast("string").alias("text")).join(nids, "nid", "left_semi")
-    sets = stored(texts.mapInArrow(partial(_sets, size), "nid long, node binary, own binary").dropDuplicates(["node"]), "sets")
+    return found
+
+
+def verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, size: int = SIZE, similar: tuple[int, int] = SIMILAR) -> DataFrame:
+    """Enough of the links among pairs of nids to connect all that they connect.
+
+    First each node is held against one other; then the pairs that are not connected by that.
+    """
+    a, b = (nodes.select(F.col("nid").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}")) for k in "ab")
+    pairs = stored(pairs.distinct().join(a, "a").join(b, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(partial(_sketched, similar), "a long, b long").distinct(), "pairs")
     release(rows.sparkSession)
-    a, b = (sets.select(F.col("nid").alias(f"nid_{k}"), F.col("node").alias(k), F.col("own").alias(f"of_{k}")) for k in "ab")
-    found = pairs.toDF("nid_a", "nid_b").join(a, "nid_a").join(b, "nid_b").where("a <> b").select("a", "b", "of_a", "of_b").mapInArrow(partial(_verified, similar), "a binary, b binary")
-    found = stored(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    if pairs.isEmpty():
+        return pairs.select(F.lit(b"").alias("a"), F.lit(b"").alias("b")).limit(0)
+    star = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    found = held(star, rows, nodes, size, similar)
+    root = rooted(nodes.select("nid").distinct(), components(found))
+    rest = pairs.join(star, ["a", "b"], "left_anti").join(root.toDF("a", "ra"), "a").join(root.toDF("b", "rb"), "b").where("ra <> rb").select("a", "b")
+    rest = stored(rest, "rest")
+    if not rest.isEmpty():
+        found = found.unionByName(held(rest, rows, nodes, size, similar))
     discard(pairs)
-    discard(sets)
-    release(rows.sparkSession)
+    discard(rest)
     return found
 
 
@@ -203,10 +242,13 @@ def simhash_pairs(rows: DataFrame) -> DataFrame:
     return same.unionByName(other).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def links(rows: DataFrame, common, size: int = SIZE, similar: tuple[int, int] = SIMILAR, crowded: int | None = None) -> DataFrame:
-    """(a, b) of similar nodes: enough of them to connect all that are connected."""
+def links(rows: DataFrame, nodes: DataFrame, common, size: int = SIZE, similar: tuple[int, int] = SIMILAR, crowded: int | None = None) -> DataFrame:
+    """(a, b) of similar nodes: enough of them to connect all that are connected.
+
+    nodes: a row for each distinct set, with the rid of one of its rows.
+    """
     crowded, spark = CROWDED if crowded is None else crowded, rows.sparkSession
-    found = verified(simhash_pairs(rows), rows, size, similar)
+    found = verified(simhash_pairs(rows), rows, nodes, size, similar)
     every = rows.select("node", F.col("row.text").cast("string").alias("text")).mapInArrow(partial(_keys, size, similar, spark.sparkContext.broadcast(common)), _KEY_DDL)
     # Most keys are those of one node only; they go before anything is joined.
     shared = stored(every.groupBy("key").agg(F.min("nid").alias("lo"), F.max("nid").alias("hi")).where("lo < hi").select("key"), "shared")
@@ -221,18 +263,18 @@ def links(rows: DataFrame, common, size: int = SIZE, similar: tuple[int, int] =
     members = stored(keys.join(counts.where(F.col("c") > crowded).select("key"), "key", "left_semi"), "members")
     pairs = _pairs(some, some, similar)
     if members.isEmpty():
-        more = verified(pairs, rows, size, similar)
+        more = verified(pairs, rows, nodes, size, similar)
         for x in (keys, counts, members):
             discard(x)
         return found.unionByName(more)
     first = members.groupBy("key").agg(F.array_distinct(F.array(*(F.min(F.struct(F.xxhash64(F.lit(k), "nid").alias("h"), "nid", "n", "place", "root")) for k in range(REPRESENTATIVES)))).alias("r"))
     first = first.select("key", F.explode("r").alias("r")).select("key", "r.nid", "r.n", "r.place", "r.root").distinct()
-    found = found.unionByName(verified(pairs.unionByName(_pairs(first, members, similar, once=False)), rows, size, similar))
+    found = found.unionByName(verified(pairs.unionByName(_pairs(first, members, similar, once=False)), rows, nodes, size, similar))
     discard(keys)
     named = stored(rooted(members.drop("root"), components(found)), "named")
     main = named.groupBy("key", "root").count().groupBy("key").agg(F.max(F.struct("count", "root")).alias("m")).select("key", F.col("m.root").alias("main"))
     rest = named.join(main, "key").where("root <> main").select("key", "nid", "n", "place", "root")
-    more = verified(_pairs(rest, named, similar, once=False), rows, size, similar)
+    more = verified(_pairs(rest, named, similar, once=False), rows, nodes, size, similar)
     for x in (counts, members, named):
         discard(x)
     return found.unionByName(more)
@@ -250,7 +292,8 @@ def survivors(docs: DataFrame, size: int = SIZE, similar: tuple[int, int] = SIMI
     own = docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*(F.col(quoted(c)).alias(c) for c in docs.columns)).alias("row"))
     more = [T.StructField("node", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("sketch", T.BinaryType())]
     rows = stored(own.mapInArrow(partial(_with_nodes, size), T.StructType([*own.schema.fields, *more])), "rows")
-    roots = components(links(rows, common_shingles(docs, size), size, similar))
+    nodes = stored(rows.groupBy("node", "n", "sketch").agg(F.min("rid").alias("rid")).withColumn("nid", nid_of("node")), "nodes")
+    roots = components(links(rows, nodes, common_shingles(docs, size), size, similar))
     others = [F.to_json(F.struct(F.col(f"row.{quoted(c)}").alias(c))) if isinstance(docs.schema[c].dataType, T.MapType | T.ArrayType | T.StructType | T.VariantType) else F.col(f"row.{quoted(c)}").cast("string") for c in docs.columns if c not in ("doc_id", "text")]
     rank = F.struct(F.col("row.doc_id").isNull().alias("i"), F.col("row.doc_id").alias("d"), F.md5(F.col("row.text").cast("binary")).alias("t"), F.xxhash64(F.lit(1), *others).alias("o"), F.col("rid").alias("rid"))
     light = rows.select("node", "rid", rank.alias("rank")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
