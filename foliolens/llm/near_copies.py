@@ -83,11 +83,24 @@ def prefix(own: np.ndarray, common: tuple[np.ndarray, np.ndarray], similar: tupl
 
 
 def _sketch(own: np.ndarray) -> bytes:
-    """The parity of a set's members in each of 512 bins: two sets differ in as many members, at least, as their sketches in bits."""
-    counts = np.bincount((own >> np.uint64(20) & np.uint64(511)).astype(np.int64), minlength=512)
+    """The parity of a set's members in each of 512 bins, or of as many as it has members: two sets differ in as many members, at least, as their sketches in bits.
+
+    The number of bins is a power of two, so a sketch can be folded to that of a smaller set.
+    """
+    bins = 1 << max(9, int(len(own) - 1).bit_length())
+    counts = np.bincount((own >> np.uint64(20) & np.uint64(bins - 1)).astype(np.int64), minlength=bins)
     return np.packbits((counts & 1).astype(np.uint8)).tobytes()
 
 
+def _apart(x: bytes, y: bytes) -> int:
+    """Bits in which two sketches differ, the larger one folded."""
+    a, b = (np.frombuffer(v, np.uint64) for v in (x, y))
+    if len(a) != len(b):
+        n = min(len(a), len(b))
+        a, b = (np.bitwise_xor.reduce(v.reshape(-1, n), axis=0) for v in (a, b))
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def _with_nodes(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from xxhash import xxh3_128_digest
 
@@ -168,8 +181,7 @@ def _sketched(similar: tuple[int, int], batches: Iterator[pa.RecordBatch]) -> It
     for batch in batches:
         if not len(batch):
             continue
-        x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(-1, 8) for k in ("sa", "sb"))
-        differ = np.bitwise_count(x ^ y).sum(axis=1)
+        differ = np.array([_apart(x.as_py(), y.as_py()) for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True)], np.int64)
         sizes = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
         # |x - y| + |y - x| <= (1 - s) / (1 + s) * (|x| + |y|) for a similarity s = p / q or more.
         yield batch.select(["a", "b"]).filter(pa.array((q + p) * differ <= (q - p) * sizes))
