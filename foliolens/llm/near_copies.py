@@ -33,8 +33,8 @@ SIZE = 5
 SIMILAR = (4, 5)
 SAMPLE, COMMON = 2000, 3
 #: A key with more nodes than this is not expanded into pairs at first.
-CROWDED = 24
-REPRESENTATIVES = 4
+CROWDED = 8
+REPRESENTATIVES = 2
 #: Ids of eight bytes that are broadcast at most; more of them are joined by a shuffle.
 FEW = 1_000_000
 #: Pairs of one hub that a task gets, about.
