@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliolens.functions import text as T
+from foliolens.operators.research import clean_heading
 
 
 def word_counts(docs: DataFrame, words: Column, *groups: str) -> DataFrame:
@@ -122,8 +123,8 @@ def section_presence(outline: DataFrame, key: str, names: dict[str, list[str]],
 
     A heading is a section if it equals one of its names, begins with it and a space, or ends with a space and it.
     """
-    h = F.lower(T.trim(F.col("text")))
-    which = F
+    h = clean_heading(F.col("text"))
+    which = F.when(F.lit(False), "")
     for name, forms in names.items():
         which = which.when(T.any_of((h == f) | h.startswith(f + " ") | h.endswith(" " + f) for f in map(str.lower, forms)), name)
     first = outline.select(key, which.alias("name"), "line").where("name is not null").groupBy(key, "name").agg(F.min("line").alias("line"))
@@ -134,13 +135,35 @@ def section_presence(outline: DataFrame, key: str, names: dict[str, list[str]],
 
 def collocations(sides: DataFrame, tokens: str, side: str, least: int = 2, top: int = 12) -> DataFrame:
     """(side, noun, verb, n): noun, を and verb in a row; those that other sides lack, the most frequent first."""
-    tri = F.filter(F.transform(tokens, lambda t, i: F.struct(t.alias("a"), F.get(tokens, i + 1).alias("b"), F.get(tokens, i + 2).alias("c"))), lambda x: (x["a"]["pos1"] == "名詞") & (x["b"]["surface"] == "を") & (x["c"]["pos1"] == "動詞"))
-    d = sides.select(side, F.explode(tri).alias("x")).groupBy(side, F.col("x.a.surface").alias("noun"), F.col("x.c.lemma").alias("verb")).agg(F.count(F.lit(1)).alias("n"))
+    d = noun_verbs(sides, tokens, side).groupBy(side, "noun", "verb").agg(F.count(F.lit(1)).alias("n"))
     own = d.groupBy("noun", "verb").agg(F.countDistinct(side).alias("sides")).where("sides = 1").select("noun", "verb")
     w = Window.partitionBy(side).orderBy(F.desc("n"), "noun", "verb")
     return d.where(F.col("n") >= least).join(own, ["noun", "verb"], "left_semi").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select(side, "noun", "verb", "n")
 
 
+def pivot_choices(dice: DataFrame, kind: Column, least_ratio: float = 2.0) -> DataFrame:
+    """(pivot, kata, kata_hits, kango, kango_hits): of each pivot's words the best of either kind, where the first has least_ratio times the hits of the second.
+
+    dice: as dice_pairs() gives it; kind: kata, kango or null, by word. Of equals the first word.
+    """
+    best = dice.withColumn("kind", kind).where("kind is not null").groupBy("pivot", "kind").agg(F.min(F.struct((-F.col("dice")).alias("d"), "word", "hits")).alias("b"))
+    k, g = (best.where(F.col("kind") == x).select("pivot", F.col("b.word").alias(x), F.col("b.hits").alias(f"{x}_hits")) for x in ("kata", "kango"))
+    return k.join(g, "pivot").where(F.col("kata_hits") >= least_ratio * F.col("kango_hits"))
+
+
+def verb_breadth(sides: DataFrame, tokens: str, side: str, least: int = 20) -> DataFrame:
+    """(side, verb, n, nouns, breadth): how many different nouns a verb takes by を, of verbs with enough of them."""
+    d = noun_verbs(sides, tokens, side).groupBy(side, "noun", "verb").agg(F.count(F.lit(1)).alias("n"))
+    d = d.groupBy(side, "verb").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("nouns")).where(F.col("n") >= least)
+    return d.withColumn("breadth", F.col("nouns") / F.col("n"))
+
+
+def noun_verbs(sides: DataFrame, tokens: str, side: str) -> DataFrame:
+    """(side, noun, verb): noun, を and verb in a row."""
+    tri = F.filter(F.transform(tokens, lambda t, i: F.struct(t.alias("a"), F.get(tokens, i + 1).alias("b"), F.get(tokens, i + 2).alias("c"))), lambda x: (x["a"]["pos1"] == "名詞") & (x["b"]["surface"] == "を") & (x["c"]["pos1"] == "動詞"))
+    return sides.select(side, F.explode(tri).alias("x")).select(side, F.col("x.a.surface").alias("noun"), F.col("x.c.lemma").alias("verb"))
+
+
 def convergence(choices: DataFrame, item: str, choice: str) -> DataFrame:
     """(item, n, kinds, top_share): how far independent answers to one item agree."""
     c = choices.groupBy(item, choice).agg(F.count(F.lit(1)).alias("c"))

@@ -111,7 +111,7 @@ def resolve_doctype(docs: DataFrame, source: str = "source", path: str | None =
             mapped = F.when(value == old, new).otherwise(mapped)
         options.append(mapped)
     if paths and path:
-        longest = F
+        longest = F.when(F.lit(False), "")
         for prefix in sorted(paths, key=len, reverse=True):
             longest = longest.when(F.col(path).startswith(prefix), paths[prefix])
         options.append(longest)

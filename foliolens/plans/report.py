@@ -74,10 +74,28 @@ def markdown(document: str = "document", local: str = "local") -> Column:
     return F.concat(F.when(F.size(document) > 0, guidance).otherwise(""), F.when(F.size(local) > 0, findings).otherwise(""))
 
 
-def text_lines(found: DataFrame, path: str) -> DataFrame:
-    """path:line:column: message [rule], one row for each position."""
+def text_lines(found: DataFrame, path: str, out: DataFrame | None = None) -> DataFrame:
+    """path: metric guidance for each metric out of range (rule_ord -1), then path:line:column: message [rule] for each position."""
     p = rules.positions(found, path)
-    return p.select(path, "rule_ord", "n", F.concat(F.col(path).cast("string"), F.lit(":"), F.col("line").cast("string"), F.lit(":"), F.col("column").cast("string"), F.lit(": "), "message", F.lit(" ["), "rule_id", F.lit("]")).alias("value"))
+    at = F.col(path).cast("string")
+    lines = p.select(path, "rule_ord", "n", F.concat(at, F.lit(":"), F.col("line").cast("string"), F.lit(":"), F.col("column").cast("string"), F.lit(": "), "message", F.lit(" ["), "rule_id", F.lit("]")).alias("value"))
+    if out is None:
+        return lines
+    names = sorted(r[0] for r in V.THRESHOLDS)
+    order = F.coalesce(F.array_position(F.array(*map(F.lit, names)), F.col("metric")), F.lit(0)).cast("int")
+    return out.select(path, F.lit(-1).alias("rule_ord"), order.alias("n"), F.concat(at, F.lit(": "), "metric", F.lit(" "), "guidance").alias("value")).unionByName(lines)
+
+
+def check_any(docs: DataFrame, key: str, source: str = "source", lang: str = "auto", **more) -> tuple[DataFrame, DataFrame]:
+    """check() for documents of both languages: auto looks at each document, ja and en hold for all."""
+    if lang not in ("auto", "ja", "en"):
+        raise ValueError(f"unknown language: {lang}")
+    if lang != "auto":
+        return check(docs, key, source, lang, **more)
+    found = T.detect_lang(F.coalesce(F.col(source), F.lit("")))
+    en = check(docs.where(found == "en"), key, source, "en", **{k: v for k, v in more.items() if k in ("profile", "silenced")})
+    ja = check(docs.where(found == "ja"), key, source, "ja", **more)
+    return tuple(a.unionByName(b) for a, b in zip(en, ja, strict=True))
 
 
 def worst(document: str = "document", local: str = "local") -> Column:

@@ -46,11 +46,29 @@ def profile_patch(spark: SparkSession, config: dict) -> tuple[DataFrame, tuple[s
     return spark.createDataFrame(rows, "metric string, threshold double, direction string, severity string, guidance string"), tuple(config.get("disable", ()))
 
 
-def plans(spark: SparkSession, path: str) -> DataFrame:
-    """(path, plot_doctype, plot): the type and the agreed headings of each plan, without marks of what is optional."""
+def allowed_words(config: dict) -> tuple[str, ...]:
+    """The words of an allow-list for rules of register: [[allow]] tables with a word, or a list of words."""
+    return tuple(x["word"] if isinstance(x, dict) else x for x in config.get("allow", ()))
+
+
+def term_rows(spark: SparkSession, config: dict) -> DataFrame:
+    """(word, lang, count) of [[term]] tables, as write_terms() writes them."""
+    return spark.createDataFrame([(t["word"], t.get("lang"), t.get("count")) for t in config.get("term", ())], "word string, lang string, count long")
+
+
+def path_types(config: dict) -> dict[str, str]:
+    """Types of documents by path prefix: the [paths] table of structure settings."""
+    return dict(config.get("paths", {}))
+
+
+def plans(spark: SparkSession, path: str, comment: str = _COMMENT) -> DataFrame:
+    """(path, plot_doctype, plot): the type and the agreed headings of each plan, without marks of what is optional.
+
+    comment: the pattern of the mark that names the type, in its first group.
+    """
     d = documents(spark, path)
     heads = F.transform(F.regexp_extract_all("source", F.lit(r"(?m)^## (.*)$"), 1), lambda h: F.trim(F.regexp_replace(h, r"(（任意）|\(optional\))\s*$", "")))
-    kind = F.regexp_extract("source", _COMMENT, 1)
+    kind = F.regexp_extract("source", comment, 1)
     return d.select("path", F.when(kind != "", kind).alias("plot_doctype"), heads.alias("plot"))
 
 
@@ -74,7 +92,8 @@ def profile_toml(profile: DataFrame, name: str) -> str:
 
 def write_terms(terms: DataFrame, path: str) -> None:
     """Terms as TOML tables, the most frequent first; written by executors."""
-    line = F.format_string('[[term]]\nword = "%s"\nlang = "%s"\ncount = %d\n', "word", "lang", "count")
+    word = F.replace(F.replace(F.col("word"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    line = F.format_string('[[term]]\nword = "%s"\nlang = "%s"\ncount = %d\n', word, "lang", "count")
     terms.orderBy(F.desc("count"), "word").select(line.alias("value")).write.mode("overwrite").text(path)
 
 
