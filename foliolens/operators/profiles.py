@@ -91,6 +91,20 @@ def ranked_tukey(df: DataFrame, value: str, *groups: str) -> DataFrame:
     return d.withColumns({"low": F.col("q1") - V.FENCE * spread, "high": F.col("q3") + V.FENCE * spread})
 
 
+def ranked_quantiles(df: DataFrame, value: str, at: dict[str, float], *groups: str) -> DataFrame:
+    """(groups, n, a column for each name of at): quantiles by the exclusive method, looked up by rank; groups of two values or more."""
+    from pyspark.sql import Window
+
+    counts = df.where(F.col(value).isNotNull()).groupBy(*groups, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    w = Window.partitionBy(*groups)
+    d = counts.withColumns({"to": F.sum("c").over(w.orderBy("v")), "n": F.sum("c").over(w)}).where("n > 1")
+    held = lambda rank: F.max(F.when((F.col("to") - F.col("c") < rank) & (F.col("to") >= rank), F.col("v")))
+    low = {name: F.greatest(F.lit(1), F.least(F.floor((F.col("n") + 1) * F.lit(p)), F.col("n") - 1)) for name, p in at.items()}
+    d = d.groupBy(*groups).agg(F.max("n").alias("n"), *(held(r).alias(f"_a_{k}") for k, r in low.items()), *(held(r + 1).alias(f"_b_{k}") for k, r in low.items()))
+    part = lambda k: (F.col("n") + 1) * F.lit(at[k]) - low[k]
+    return d.select(*groups, "n", *((F.col(f"_a_{k}") * (1 - part(k)) + F.col(f"_b_{k}") * part(k)).alias(k) for k in at))
+
+
 def calibrate(metrics: DataFrame, profile: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(profile, rejected): thresholds at the fences of a corpus, and metrics that give none, with the reason."""
     d = ranked_tukey(metrics.join(F.broadcast(profile.select("metric")), "metric"), "value", "metric").join(F.broadcast(profile), "metric")

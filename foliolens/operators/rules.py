@@ -193,24 +193,36 @@ def prefer_katakana(tokens: str, allow: tuple[str, ...] = (), pairs: dict[str, s
     return F.flatten(F.transform(_body_blocks(), hits))
 
 
+#: A reference of more lemmas than this is joined by lemma, a smaller one is one map of a few MB.
+SMALL_REFERENCE = 50_000
+
+
 def rare_wago(parsed: DataFrame, tokens: str, reference: DataFrame, content_words: int = V.REFERENCE_CONTENT_WORDS, allow: tuple[str, ...] = ()) -> DataFrame:
     """Adds rare_wago: native words that a document uses far more often than the reference (lemma, n).
 
-    Occurrences are counted per document before they meet the reference, so what is joined is one
-    row for each document and lemma used three times or more.
+    Occurrences are counted within the row. A reference of bounded size comes as one row with a map, so documents
+    do not move; a larger one meets one row for each distinct set of counts and lemma, by a hash of their contents.
     """
-    d = T.bound(parsed, _id=F.monotonically_increasing_id())
     content = lambda t: t["pos1"].isin(*V.CONTENT_POS)
     target = lambda t: content(t) & (t["goshu"] == "和") & (t["pos2"] != "数詞") & ~t["surface"].rlike(r"\A[ァ-ヶー]\z") & ~_lemma(t).isin(*allow) & ~t["surface"].isin(*allow)
     found = F.flatten(F.transform(_body_blocks(), lambda b: F.transform(F.filter(_tokens_at(tokens, b["seq"]), target), lambda t: F.struct(_lemma(t).alias("lemma"), _marked(b, t, _lemma(t)).alias("p")))))
     total = F.aggregate(F.transform(_body_blocks(), lambda b: F.size(F.filter(_tokens_at(tokens, b["seq"]), content))), F.lit(0), lambda a, x: a + x)
-    d = T.bound(d, _hits=found, _words=total)
-    lemmas = d.select("_id", "_words", F.explode("_hits").alias("h")).groupBy("_id", F.col("h.lemma").alias("lemma")).agg(F.count(F.lit(1)).alias("a"), F.first("_words").alias("_words")).where(F.col("a") >= V.MIN_OCCURRENCES)
-    a, b = F.col("a").cast("double"), F.coalesce("n", F.lit(0)).cast("double")
-    n1, n2 = F.greatest("_words", F.lit(1)).cast("double"), F.lit(float(max(content_words, 1)))
-    over = lemmas.join(reference.select("lemma", "n"), "lemma", "left").where(T.over_used(a, b, n1, n2)).groupBy("_id").agg(F.collect_set("lemma").alias("_over"))
-    d = d.join(over, "_id", "left")
-    return d.withColumn("rare_wago", F.transform(F.filter("_hits", lambda h: F.array_contains("_over", h["lemma"])), lambda h: h["p"])).drop("_id", "_hits", "_words", "_over")
+    d = T.bound(parsed, _hits=found, _n1=F.greatest(total, F.lit(1)).cast("double"))
+    d = T.bound(d, _lemmas=F.transform("_hits", lambda h: h["lemma"]))
+    counted = F.transform(F.array_distinct("_lemmas"), lambda x: F.struct(x.alias("lemma"), F.size(F.filter("_lemmas", lambda y: y == x)).cast("double").alias("a")))
+    d = T.bound(d, _often=F.filter(counted, lambda x: x["a"] >= V.MIN_OCCURRENCES))
+    n2 = F.lit(float(max(content_words, 1)))
+    if reference.limit(SMALL_REFERENCE + 1).count() <= SMALL_REFERENCE:
+        one = reference.groupBy("lemma").agg(F.max("n").cast("double").alias("n")).agg(F.map_from_entries(F.collect_list(F.struct("lemma", "n"))).alias("_known"))
+        d = d.join(F.broadcast(one), how="cross")  # one row
+        over = F.filter("_often", lambda x: T.over_used(x["a"], F.coalesce(F.try_element_at("_known", x["lemma"]), F.lit(0.0)), F.col("_n1"), n2))
+        d = T.bound(d, _over=F.transform(over, lambda x: x["lemma"])).drop("_known")
+    else:
+        d = T.bound(d, _id=F.sha2(F.to_json(F.struct("_often", "_n1")), 256))
+        rows = d.select("_id", "_n1", F.inline("_often")).distinct().join(reference.select("lemma", "n"), "lemma", "left")
+        held = rows.where(T.over_used(F.col("a"), F.coalesce("n", F.lit(0)).cast("double"), F.col("_n1"), n2)).groupBy("_id").agg(F.collect_set("lemma").alias("_over"))
+        d = d.join(held, "_id", "left").drop("_id")
+    return d.withColumn("rare_wago", F.transform(F.filter("_hits", lambda h: F.coalesce(F.array_contains("_over", h["lemma"]), F.lit(False))), lambda h: h["p"])).drop("_hits", "_lemmas", "_often", "_n1", "_over")
 
 
 def glossary_entries(terms=None, orthography=None, project: list[tuple[str, str, list[str]]] = ()) -> list[tuple[str, str, list[str], bool]]:

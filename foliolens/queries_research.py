@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from foliolens import fixed_values as V
 from foliolens.functions import text as T
 from foliolens.functions.morphology import Dictionary, token_table, tokenizer
-from foliolens.operators import corpus, metrics, parse, research, terms
-from foliolens.queries import _OUTLINE, _PARAGRAPHS, _WORDS, MD, _counts, _values, markdown_docs, parsed_docs, table
+from foliolens.operators import corpus, metrics, parse, research, rules, structure, terms
+from foliolens.plans import report
+from foliolens.queries import _FINDINGS, _METRICS, _OUTLINE, _PARAGRAPHS, _PROFILE, _WORDS, MD, _counts, _values, markdown_docs, parsed_docs, table
 
 _W = T.UWS
 
@@ -40,7 +41,7 @@ _NOTES = " union all ".join(
     f"select doc_id, 'structure/work-note', '{_quoted(message)}', line, line, substring(text, length(string_split_regex(text, '{_quoted(p)}')[1])::int + 1, 36) from paragraphs join md using (doc_id) where doctype is not null and doctype not in ({', '.join(repr(x) for x in V.WORK_NOTES_OK)}) and regexp_matches(text, '{_quoted(p)}')" for p, message in V.WORK_NOTES["en"]
 )
 _SECTIONS = [(d, k, s[1], s[2], s[4][0], "|".join(n.lower() for n in s[3] + s[4])) for d, sections in V.DOCTYPES.items() for k, s in enumerate(sections)]
-_STRUCTURE_SQL = rf"""with {MD}, {_OUTLINE}, {_PARAGRAPHS},
+_STRUCTURE = rf"""
 sec(doctype, ord, required, lead_ok, name, names) as (values {_values(_SECTIONS)}),
 rest as (select * from (select *, row_number() over (partition by doc_id order by seq) as k from outline) where not (k = 1 and level = 1)),
 sections as (select *, row_number() over (partition by doc_id order by seq) - 1 as i from (select *, min(level) over (partition by doc_id) as top from rest) where level = top),
@@ -54,8 +55,9 @@ every as (
   union all {_LEADS}
   union all select doc_id, 'structure/missing-section', '{_quoted(V.MISSING_SECTION[2])}', ord, 1, name || '｜' from fits where required and pl is null and not nested and not (ord = 0 and lead_ok and doc_id in (select doc_id from lead))
   union all select ordered.doc_id, 'structure/section-order', '{_quoted(V.SECTION_ORDER[2])}', ord, s.line, s.text || '｜{V.SECTION_ORDER_NOTE}' from ordered join sections s on s.doc_id = ordered.doc_id and s.i = ordered.pl where pl < earlier
-  union all {_NOTES})
-select doc_id, rule_id, message, n::int as n, line, text from (select *, row_number() over (partition by doc_id, rule_id, message order by o) - 1 as n from every) where n < 20"""
+  union all {_NOTES}),
+kept as (select * from (select *, row_number() over (partition by doc_id, rule_id, message order by o) - 1 as n from every) where n < 20)"""
+_STRUCTURE_SQL = rf"""with {MD}, {_OUTLINE}, {_PARAGRAPHS}, {_STRUCTURE} select doc_id, rule_id, message, n::int as n, line, text from kept"""
 
 _RUN = "{'g': x.g, 'w': x.w, 'leading': s.leading and x.g = '' and x.caps, 'run': case when not fit then '' when x.g <> '' or s.run = '' then x.w else s.run || ' ' || x.w end, 'out': case when (x.g <> '' or not fit) and s.run <> '' then list_append(s.out, s.run) else s.out end, 'caps': x.caps, 'capital': x.capital}"
 _FIT = "(x.caps or (x.capital and not (s.leading or regexp_matches(x.g, '[.!?]$'))))"
@@ -170,6 +172,79 @@ def source_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _WORD_PAIRS = [("the", "der"), ("and", "und"), ("of", "de"), ("zzz", "and")]
 
+def md_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole reports as lines of text: metrics out of range, then places to mend."""
+    out, found = report.check_any(markdown_docs(spark, sf_dir), "doc_id", lang="en")
+    return report.text_lines(found, "doc_id", out).select("doc_id", "value")
+
+
+def md_worst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The worst severity of each document, and if it makes a check fail."""
+    docs = markdown_docs(spark, sf_dir)
+    out, found = report.check(docs, "doc_id")
+    r = report.reports(docs, out, found, "doc_id")
+    return r.groupBy("doc_id").agg(F.first(report.worst()).alias("worst"), report.exit_status(r).alias("status"))
+
+
+_RULES = [(k, r[0], r[1], r[2]) for k, r in enumerate(V.MAINT_RULES)]
+_SEVERITIES = [(r[0], r[1]) for r in (V.LONG_PARAGRAPH, V.EMPTY_SECTION, V.LEAD_OPENER, V.MISSING_SECTION, V.SECTION_ORDER, V.WORK_NOTE)]
+_CHECK = rf"""with {MD}, {_METRICS}, {_PROFILE}, {_FINDINGS}, {_OUTLINE}, {_PARAGRAPHS}, {_STRUCTURE},
+mr(ro, rule_id, severity, message) as (values {_values(_RULES)}), sv(rule_id, severity) as (values {_values(_SEVERITIES)}),
+flagged as (select doc_id, metrics.metric as metric, severity, guidance from metrics join md using (doc_id) join profile p on p.doctype = coalesce(md.doctype, '') and p.metric = metrics.metric where case when direction = 'above' then value > threshold else value < threshold end),
+told as (select doc_id, line, col, message, rule_id, severity from ranked join mr using (ro) where n < 20 union all select doc_id, line, 1, message, kept.rule_id, severity from kept join sv on sv.rule_id = kept.rule_id)"""
+
+
+def md_plots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections against an agreed plan of three headings."""
+    plot = F.array(*(F.lit(h) for h in _PLOT))
+    d = parsed_docs(spark, sf_dir).withColumn("plot", plot)
+    return T.bound(d, p=structure.plot_mismatch("plot")).select("doc_id", F.explode("p").alias("p")).select("doc_id", "p.line", "p.text")
+
+
+_PLOT = ["2. Numbers", "Motivation", "Never written"]
+
+
+def md_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents have a section, and where it first appears."""
+    d = parsed_docs(spark, sf_dir)
+    out = corpus.section_presence(parse.rows_of(d, "outline", "doc_id"), "doc_id", _NAMES, d)
+    return out.withColumns({"share": F.round("share", 9), "mean_place": F.round("mean_place", 9)})
+
+
+_NAMES = {"numbers": ["numbers"], "why": ["motivation", "why"], "empty": ["empty"]}
+
+
+def source_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the documents of a source agree on a language."""
+    d = corpus.convergence(table(spark, sf_dir, "documents").where("source is not null and lang is not null"), "source", "lang")
+    return d.withColumn("top_share", F.round("top_share", 9))
+
+
+def word_adoption(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of words of which the new one is clearly in use, over all documents."""
+    pairs = spark.createDataFrame([(a, b) for b, a in _WORD_PAIRS] + [("zzz", "the")], "old string, new string")
+    return corpus.adoption(pairs, _counts(spark, sf_dir).select("word", "n"))
+
+
+def pattern_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of patterns in English against those in German."""
+    d = corpus.pattern_rates(table(spark, sf_dir, "documents").where("lang is not null").withColumn("text", F.coalesce("text", F.lit(""))), "text", _SIGNS, "lang")
+    return corpus.rate_ratio(d, "lang", "en", "de").select("pattern", *(F.round(c, 6).alias(c) for c in ("ours", "theirs", "ratio")))
+
+
+_SIGNS = {"comma": ",", "digits": "[0-9]+", "never": "zqzq"}
+
+
+def turn_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which form of a word users and assistants took, turn by turn."""
+    c = table(spark, sf_dir, "conversations").where("text is not null")
+    side = lambda role, name: c.where(F.col("role") == role).select("conv_id", "turn", F.col("text").alias(name))
+    pairs = side("user", "theirs").join(side("assistant", "ours").withColumn("turn", F.col("turn") - 1), ["conv_id", "turn"])
+    return research.term_agreement(pairs, "ours", "theirs", _FORMS_OF)
+
+
+_FORMS_OF = {"in": ["in", "ing"], "the": ["the", "The", "that"]}
+
 # --- Japanese --------------------------------------------------------------------------------------
 
 #: surface, pos1, pos2, cform, goshu, lemma
@@ -210,6 +285,26 @@ def ja_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("select pos1, goshu, count(*) as n, sum(start) as starts from {docs}, lateral foliolens_tokens(source) group by pos1, goshu", docs=japanese_docs(spark, sf_dir))
 
 
+def ja_register(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of nouns with a loan word in use, and of native words far over the reference."""
+    d = tokenizer(_dictionary())(parse.parse(japanese_docs(spark, sf_dir)))
+    d = T.bound(d, k=rules.prefer_katakana("block_tokens"))
+    d = rules.rare_wago(d, "block_tokens", spark.createDataFrame(_REFERENCE, "lemma string, n long"))
+    label = lambda c, rule: F.transform(c, lambda p: F.struct(F.lit(rule).alias("rule"), p["column"].alias("column"), F.split(p["text"], "｜")[0].alias("label")))
+    return d.select("doc_id", F.inline(F.concat(label("k", "katakana"), label("rare_wago", "wago"))))
+
+
+_REFERENCE = [("使う", 90_000), ("これ", 3)]
+
+
+def ja_glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forms that a glossary rejects, and other forms of defined names."""
+    d = parse.parse(japanese_docs(spark, sf_dir))
+    d = T.bound(d, v=rules.glossary_variant([("確認", "検査", ["確認。"], False)]), n=rules.defined_names([("使用者", ["利用者"], "名前")]))
+    label = lambda c, rule: F.transform(c, lambda p: F.struct(F.lit(rule).alias("rule"), p["column"].alias("column"), F.split(p["text"], "｜")[0].alias("label")))
+    return d.select("doc_id", F.inline(F.concat(label("v", "variant"), label("n", "name"))))
+
+
 _JA = f"""
 jt(k, surface, pos1, pos2, cform, goshu, lemma) as (values {_values([(k, *t) for k, t in enumerate(_TOKENS)])}),
 jw as (select doc_id, lang, string_split(coalesce(text, ''), ' ') as ws from documents where doc_id is not null),
@@ -240,7 +335,7 @@ t as (select lang, surface as noun, pos1, lead(surface, 1) over w as b, lead(pos
 v as (select lang, verb, noun from t where lang is not null and pos1 = '名詞' and b = 'を' and c = '動詞')
 select lang, verb, count(*) as n, count(distinct noun) as nouns, round(count(distinct noun) / count(*), 9) as breadth from v group by lang, verb having count(*) >= 20"""
 
-QUERIES = {f.__name__: f for f in (md_chunks, md_sections, md_research, md_status, md_led_to_lists, documents_admitted, source_pairs, ja_metrics, ja_terms, ja_verb_breadth, ja_token_counts)}
+QUERIES = {f.__name__: f for f in (md_chunks, md_sections, md_research, md_status, md_led_to_lists, documents_admitted, source_pairs, ja_metrics, ja_terms, ja_verb_breadth, ja_token_counts, ja_register, ja_glossary, md_lines, md_worst, md_plots, md_presence, source_agreement, word_adoption, pattern_ratios, turn_agreement)}
 _T = "coalesce(text, '')"
 _N = lambda letters: f"length(regexp_replace({_T}, '[^{letters}]+', '', 'g'))"
 _HAS = lambda x: f"(length({_T}) - length(replace({_T}, '{x}', ''))) // {len(x)}"
@@ -256,6 +351,26 @@ SQL = {
   {_HAS("<!--")} <= 8 and {" + ".join(_HAS(m) for m in V.TEMPLATE_MARKS)} <= 2 and length(regexp_replace(regexp_replace({_T}, '(?s)<!--.*?-->', '', 'g'), '(?s)```.*?```', '', 'g')) >= 2000 as written,
   case when {_N(r"\x{3040}-\x{30FF}\x{4E00}-\x{9FFF}")} * 20 > length({_T}) then 'ja' else 'en' end as detected, case when not regexp_matches({_T}, '(?:です|ます|ました|ません|でしょう|ください|である|だ|た)。') then 'unknown' else 'dearu' end as style from documents""",
     "source_pairs": f"with {_WORDS}, q(ours, theirs) as (values {_values(_WORD_PAIRS)}), c as (select source, word, count(*) as n from wt where source is not null group by all), s as (select distinct source from c) select ours, theirs, s.source, coalesce((select n from c where c.source = s.source and word = ours), 0)::bigint as ours_n, coalesce((select n from c where c.source = s.source and word = theirs), 0)::bigint as theirs_n from q cross join s",
+    "md_lines": f"{_CHECK} select doc_id, doc_id || ': ' || metric || ' ' || guidance as value from flagged union all select doc_id, doc_id || ':' || line || ':' || col || ': ' || message || ' [' || rule_id || ']' from told",
+    "md_worst": f"{_CHECK}, s as (select doc_id, max(case severity when 'error' then 3 when 'warning' then 2 else 1 end) as k from (select doc_id, severity from flagged union all select doc_id, severity from told) group by doc_id) select md.doc_id, case k when 3 then 'error' when 2 then 'warning' when 1 then 'info' end as worst, case when k = 3 then 1 else 0 end as status from md left join s using (doc_id)",
+    "md_plots": rf"""with {MD}, {_OUTLINE}, rest as (select * from (select *, row_number() over (partition by doc_id order by seq) as k from outline) where not (k = 1 and level = 1)),
+sections as (select * from (select *, min(level) over (partition by doc_id) as top from rest) where level = top), p(h) as (values {_values([(h,) for h in _PLOT])})
+select doc_id, 1 as line, '{V.PLOT_ONLY}｜' || h as text from md cross join p where not exists (select 1 from sections s where s.doc_id = md.doc_id and s.text = h) union all select doc_id, line, '{V.BODY_ONLY}｜' || text from sections where text not in (select h from p)""",
+    "md_presence": rf"""with {MD}, {_OUTLINE}, h as (select doc_id, line, lower(trim(regexp_replace(text, '[*_`~#:]', '', 'g'))) as h from outline),
+c as (select doc_id, min(line) as line, name from (select *, case {" ".join("when " + " or ".join(f"h = '{f}' or starts_with(h, '{f} ') or ends_with(h, ' {f}')" for f in forms) + f" then '{n}'" for n, forms in _NAMES.items())} end as name from h) where name is not null group by doc_id, name),
+p as (select *, row_number() over (partition by doc_id order by line, name) as place from c) select name, count(*) as docs, round(count(*) / (select count(*) from md), 9) as share, round(avg(place), 9) as mean_place, count(*) filter (place = 1) as first from p group by name""",
+    "source_agreement": "with c as (select source, lang, count(*) as c from documents where source is not null and lang is not null group by all) select source, sum(c)::bigint as n, count(*) as kinds, round(max(c) / sum(c), 9) as top_share from c group by source",
+    "word_adoption": f"with {_WORDS}, p(old, new) as (values {_values([(a, b) for b, a in _WORD_PAIRS] + [('zzz', 'the')])}), c as (select word, count(*) as n from wt group by word), j as (select old, new, coalesce(a.n, 0) as old_n, coalesce(b.n, 0) as new_n from p left join c a on a.word = old left join c b on b.word = new) select * from j where old_n + new_n >= 20 and old_n <= 60 and (old_n = 0 or new_n >= 2 * old_n)",
+    "pattern_ratios": "with r as (" + " union all ".join(f"select '{n}' as pattern, lang, sum(len(regexp_extract_all({_T}, '{p}'))) * 10000.0 / sum(length({_T})) as rate from documents where lang is not null group by lang" for n, p in _SIGNS.items()) + "), v as (select pattern, coalesce(max(rate) filter (lang = 'en'), 0) as a, coalesce(max(rate) filter (lang = 'de'), 0) as b from r group by pattern) select pattern, round(a, 6) as ours, round(b, 6) as theirs, round(case when b > 0 then a / b when a > 0 then 'infinity'::double end, 6) as ratio from v",
+    "turn_agreement": "with p as (select u.text as theirs, a.text as ours from conversations u join conversations a on u.conv_id = a.conv_id and a.turn = u.turn + 1 where u.role = 'user' and a.role = 'assistant' and u.text is not null and a.text is not null), f as (" + " union all ".join(f"select '{t}' as term, " + ", ".join("case " + " ".join(f"when contains({side}, '{x}') then '{x}'" for x in sorted(reversed(forms), key=len, reverse=True)) + f" end as {side}_form" for side in ("ours", "theirs")) + " from p" for t, forms in _FORMS_OF.items()) + ") select term, ours_form, theirs_form, count(*) as n from f where ours_form is not null group by all",
+    "ja_register": f"""with {_JA}, kp(lemma, kata) as (values {_values(list(V.KATAKANA_PAIRS.items()))}), rf(lemma, n) as (values {_values(_REFERENCE)}),
+o as (select *, lag(pos1) over (partition by doc_id order by p) as before from ja), w as (select doc_id, count(*) as n1 from ja where pos1 in ({", ".join(repr(x) for x in V.CONTENT_POS)}) group by doc_id),
+t as (select doc_id, lemma, count(*)::double as a from ja where pos1 in ({", ".join(repr(x) for x in V.CONTENT_POS)}) and goshu = '和' and pos2 <> '数詞' group by doc_id, lemma having count(*) >= {V.MIN_OCCURRENCES}),
+g as (select t.doc_id, t.lemma, a, coalesce(rf.n, 0)::double as b, n1::double as n1, {V.REFERENCE_CONTENT_WORDS}::double as n2 from t join w using (doc_id) left join rf using (lemma)),
+v as (select doc_id, lemma from g where a / n1 > b / n2 and 2 * (a * ln(a / (n1 * (a + b) / (n1 + n2))) + case when b > 0 then b * ln(b / (n2 * (a + b) / (n1 + n2))) else 0 end) >= {V.G2_CRITICAL} and log2(((a + 0.5) / n1) / ((b + 0.5) / n2)) >= {V.LOG_RATIO_MIN})
+select doc_id, 'katakana' as rule, (start + 1)::int as "column", lemma || '→' || kata as label from o join kp using (lemma) where pos1 = '名詞' and goshu = '漢' and before is distinct from '名詞'
+union all select ja.doc_id, 'wago', (start + 1)::int, lemma from ja join v using (doc_id, lemma) where pos1 in ({", ".join(repr(x) for x in V.CONTENT_POS)}) and goshu = '和' and pos2 <> '数詞'""",
+    "ja_glossary": f"""with {_JA} select doc_id, 'variant' as rule, (start + 1)::int as "column", '確認→検査' as label from ja where surface = '確認' and next is distinct from '。' union all select doc_id, 'name', (start + 1)::int, '利用者→使用者（名前）' from ja where surface = '利用者'""",
     "ja_metrics": _JA_METRICS,
     "ja_terms": _JA_TERMS,
     "ja_verb_breadth": _JA_BREADTH,
