@@ -117,12 +117,20 @@ def is_kind(*kinds: str):
     return lambda b: b["kind"].isin(*kinds)
 
 
-def parse(docs: DataFrame, source: str = "source") -> DataFrame:
+PARTS = ("blocks", "code_lines", "non_empty_lines", "prose", "body", "lists", "paragraphs", "outline", "sections", "lead")
+
+
+def parse(docs: DataFrame, source: str = "source", *parts: str) -> DataFrame:
     """docs with blocks, code_lines, non_empty_lines, prose and body, lists, paragraphs and outline, and their sections.
 
     Order: front matter, fences, code shortcodes, escapes, tags, lines, inline markup. What is
     removed keeps its line ends, so numbers of lines are those of the source. A null source has no blocks.
+    Of parts (all by default) only what they need is computed: the columns are bound, so Spark cannot leave one out by itself.
     """
+    need = set(parts or PARTS)
+    need |= {"paragraphs", "sections"} if "lead" in need else set()
+    need |= {"outline"} if "sections" in need else set()
+    need |= {"code_lines"} if "outline" in need else set()
     d = bound(docs, _src=F.coalesce(F.col(source), F.lit("")))
     d = bound(d, _front=F.regexp_extract("_src", FRONT_MATTER, 1))
     d = bound(d, _raw=_lines(F.col("_src")), _l=_lines(F.concat(_newlines(F.col("_front")), F.substring("_src", F.length("_front") + 1, F.length("_src")))))
@@ -153,15 +161,18 @@ def parse(docs: DataFrame, source: str = "source") -> DataFrame:
 
     d = bound(d, _rows=rows)
     code = F.array_sort(F.array_distinct(F.concat(_expanded(F.coalesce("_fr", "_f")), _expanded(F.col("_cr")))))
-    d = bound(d, blocks=F.transform("_rows", block), code_lines=code)
+    d = bound(d, blocks=F.transform("_rows", block), **({"code_lines": code} if "code_lines" in need else {}))
     b = F.col("blocks")
     joined = lambda *kinds: F.array_join(F.transform(F.filter(b, is_kind(*kinds)), lambda x: x["text"]), "\n")
-    d = bound(
-        d, non_empty_lines=F.size(b), prose=joined("Prose"), body=joined("Prose", "ListItem"), lists=runs(b, is_kind("ListItem")),
-        _p=runs(b, is_kind("Prose"), lambda x: x["blank_before"]), _h=F.filter(b, is_kind("Heading")),
-    )
+    columns = {
+        "non_empty_lines": lambda: F.size(b), "prose": lambda: joined("Prose"), "body": lambda: joined("Prose", "ListItem"), "lists": lambda: runs(b, is_kind("ListItem")),
+        "paragraphs": lambda: runs(b, is_kind("Prose"), lambda x: x["blank_before"]), "outline": lambda: F.filter(b, is_kind("Heading")),
+    }
+    inner = {"paragraphs": "_p", "outline": "_h"}
+    if wanted := {inner.get(n, n): c() for n, c in columns.items() if n in need}:
+        d = bound(d, **wanted)
     items = lambda r: F.slice("blocks", r["first"], r["last"] - r["first"] + 1)
-    paragraphs = F.transform("_p", lambda r: F.struct(F.get("blocks", r["first"] - 1)["line"].alias("line"), F.array_join(F.transform(items(r), lambda x: x["text"]), " ").alias("text")))
+    paragraphs = lambda: F.transform("_p", lambda r: F.struct(F.get("blocks", r["first"] - 1)["line"].alias("line"), F.array_join(F.transform(items(r), lambda x: x["text"]), " ").alias("text")))
 
     def entry(h, i):
         later = F.get("_h", i + 1)
@@ -170,13 +181,17 @@ def parse(docs: DataFrame, source: str = "source") -> DataFrame:
         level = heading_level(h["raw"])
         return F.struct(h["seq"].alias("seq"), h["line"].alias("line"), level.alias("level"), h["text"].alias("text"), ((end - h["seq"] > 1) | code).alias("has_body"), F.coalesce(heading_level(later["raw"]) > level, F.lit(False)).alias("has_child"))
 
-    d = bound(d, paragraphs=paragraphs, outline=F.transform("_h", entry))
-    rest = F.when(F.get("outline", F.lit(0))["level"] == 1, F.slice("outline", 2, F.greatest(F.size("outline") - 1, F.lit(0)))).otherwise(F.col("outline"))
-    d = bound(d, _o=rest)
-    d = bound(d, _top=F.array_min(F.transform("_o", lambda o: o["level"])))
-    d = bound(d, sections=F.filter("_o", lambda o: o["level"] == F.col("_top")))
-    first = F.get("sections", F.lit(0))["line"]
-    d = bound(d, lead=F.get(F.filter("paragraphs", lambda p: first.isNull() | (p["line"] < first)), F.lit(0)))
+    later = {"paragraphs": paragraphs, "outline": lambda: F.transform("_h", entry)}
+    if wanted := {n: c() for n, c in later.items() if n in need}:
+        d = bound(d, **wanted)
+    if "sections" in need:
+        rest = F.when(F.get("outline", F.lit(0))["level"] == 1, F.slice("outline", 2, F.greatest(F.size("outline") - 1, F.lit(0)))).otherwise(F.col("outline"))
+        d = bound(d, _o=rest)
+        d = bound(d, _top=F.array_min(F.transform("_o", lambda o: o["level"])))
+        d = bound(d, sections=F.filter("_o", lambda o: o["level"] == F.col("_top")))
+    if "lead" in need:
+        first = F.get("sections", F.lit(0))["line"]
+        d = bound(d, lead=F.get(F.filter("paragraphs", lambda p: first.isNull() | (p["line"] < first)), F.lit(0)))
     return d.drop("_src", "_front", "_raw", "_l", "_f", "_fr", "_l2", "_c", "_cr", "_t", "_t2", "_n", "_rows", "_p", "_h", "_o", "_top")
 
 

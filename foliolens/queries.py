@@ -43,8 +43,8 @@ def markdown_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "lang", F.col("source").alias("domain"), F.expr(_SPARK_MD).alias("source"), F.expr(_TYPE).alias("doctype"))
 
 
-def parsed_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse.parse(markdown_docs(spark, sf_dir))
+def parsed_docs(spark: SparkSession, sf_dir: str, *parts: str) -> DataFrame:
+    return parse.parse(markdown_docs(spark, sf_dir), "source", *parts)
 
 
 _W = T.UWS
@@ -74,11 +74,11 @@ blocks as (select doc_id, row_number() over (partition by doc_id order by line):
 
 
 def md_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse.rows_of(parsed_docs(spark, sf_dir), "blocks", "doc_id")
+    return parse.rows_of(parsed_docs(spark, sf_dir, "blocks"), "blocks", "doc_id")
 
 
 def md_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse.rows_of(parsed_docs(spark, sf_dir), "paragraphs", "doc_id")
+    return parse.rows_of(parsed_docs(spark, sf_dir, "paragraphs"), "paragraphs", "doc_id")
 
 
 _PARAGRAPHS = """
@@ -88,7 +88,7 @@ paragraphs as (select doc_id, min(line)::int as line, string_agg(text, ' ' order
 
 
 def md_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse.rows_of(parsed_docs(spark, sf_dir), "outline", "doc_id")
+    return parse.rows_of(parsed_docs(spark, sf_dir, "outline"), "outline", "doc_id")
 
 
 _OUTLINE = """
@@ -100,11 +100,11 @@ outline as (select h1.doc_id, seq, line, level, text, coalesce(next_seq, most +
 
 
 def md_list_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse.rows_of(parsed_docs(spark, sf_dir), "lists", "doc_id")
+    return parse.rows_of(parsed_docs(spark, sf_dir, "lists"), "lists", "doc_id")
 
 
 def md_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = metrics.metrics_en(parsed_docs(spark, sf_dir), "doc_id")
+    d = metrics.metrics_en(parsed_docs(spark, sf_dir, "prose", "body"), "doc_id")
     return d.withColumn("value", F.round("value", 9))
 
 
@@ -126,7 +126,7 @@ metrics as (
 
 def md_flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents out of range, by the thresholds of their type, and what to do about them."""
-    d = parse.parse(markdown_docs(spark, sf_dir)).withColumn("_type", F.coalesce("doctype", F.lit("")))
+    d = parsed_docs(spark, sf_dir, "prose", "body").withColumn("_type", F.coalesce("doctype", F.lit("")))
     measured = metrics.metrics_en(d, "doc_id", "_type")
     out = metrics.out_of_range(measured, profiles.by_doctype(profiles.builtin(spark)).withColumnRenamed("doctype", "_type"), "_type")
     return out.select("doc_id", F.col("_type").alias("doctype"), "metric", F.round("value", 9).alias("value"), "threshold", "direction", "severity", "guidance")
@@ -150,7 +150,7 @@ def profile_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def md_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positions of the maintainability rules, at most twenty a rule."""
-    d, found = rules.maintainability(parsed_docs(spark, sf_dir), "en")
+    d, found = rules.maintainability(parsed_docs(spark, sf_dir, "lists", "outline"), "en")
     return rules.positions(rules.findings(d, found, "doc_id"), "doc_id").select("doc_id", "rule_id", "n", "line", "column", "text")
 
 
@@ -202,7 +202,7 @@ _SECTIONS = [(d, k, s[1], s[2], s[4][0], "|".join(n.lower() for n in s[3] + s[4]
 
 
 def md_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return terms.terms(parsed_docs(spark, sf_dir), "en", 2)
+    return terms.terms(parsed_docs(spark, sf_dir, "blocks"), "en", 2)
 
 
 def md_check(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,7 +215,7 @@ def md_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def md_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Thresholds calibrated from the corpus, and metrics that give none."""
-    kept, rejected = profiles.calibrate(metrics.metrics_en(parsed_docs(spark, sf_dir), "doc_id"), profiles.builtin(spark))
+    kept, rejected = profiles.calibrate(metrics.metrics_en(parsed_docs(spark, sf_dir, "prose", "body"), "doc_id"), profiles.builtin(spark))
     d = kept.select("metric", F.round("threshold", 9).alias("threshold"), "direction", F.lit("").alias("reason")).unionByName(rejected.select("metric", F.round("threshold", 9).alias("threshold"), F.lit("").alias("direction"), "reason"))
     return d
 
@@ -226,7 +226,7 @@ _HINGES = """(select metric, len(v) as n, case when len(v) // 2 = 0 then null el
 
 def md_firing_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = markdown_docs(spark, sf_dir)
-    d, found = rules.maintainability(parse.parse(docs), "en")
+    d, found = rules.maintainability(parse.parse(docs, "source", "lists", "outline"), "en")
     hits = rules.findings(d, found, "doc_id").select("doc_id", "rule_id", (F.size("positions") + F.col("truncated")).alias("n"))
     return corpus.firing_rates(docs, hits, "doc_id", "doctype").withColumn("share", F.round("share", 9))
 

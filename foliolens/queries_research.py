@@ -153,7 +153,7 @@ select domain, case when regexp_matches(h, '{_quoted(V.SIGNPOST)}') then 'signpo
 
 def md_led_to_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often a colon at the end of prose is followed by a list, by type of document."""
-    d = research.led_to_lists(parsed_docs(spark, sf_dir).select("doctype", "blocks"), ":$", "doctype")
+    d = research.led_to_lists(parsed_docs(spark, sf_dir, "blocks").select("doctype", "blocks"), ":$", "doctype")
     return d.withColumn("share", F.round("share", 9))
 
 
@@ -266,16 +266,16 @@ def japanese_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ja_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = metrics.metrics_ja(tokenizer(_dictionary())(parse.parse(japanese_docs(spark, sf_dir))), "doc_id")
+    d = metrics.metrics_ja(tokenizer(_dictionary())(parse.parse(japanese_docs(spark, sf_dir), "source", "prose", "body")), "doc_id")
     return d.withColumn("value", F.round("value", 6))
 
 
 def ja_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return terms.terms(tokenizer(_dictionary())(parse.parse(japanese_docs(spark, sf_dir))), "ja", 2)
+    return terms.terms(tokenizer(_dictionary())(parse.parse(japanese_docs(spark, sf_dir), "source", "prose", "body")), "ja", 2)
 
 
 def ja_verb_breadth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = corpus.verb_breadth(tokenizer(_dictionary())(parse.parse(japanese_docs(spark, sf_dir))).where("lang is not null"), "body_tokens", "lang", 20)
+    d = corpus.verb_breadth(tokenizer(_dictionary())(parse.parse(japanese_docs(spark, sf_dir), "source", "prose", "body")).where("lang is not null"), "body_tokens", "lang", 20)
     return d.withColumn("breadth", F.round("breadth", 9))
 
 
@@ -287,7 +287,7 @@ def ja_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ja_register(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places of nouns with a loan word in use, and of native words far over the reference."""
-    d = tokenizer(_dictionary())(parse.parse(japanese_docs(spark, sf_dir)))
+    d = tokenizer(_dictionary())(parse.parse(japanese_docs(spark, sf_dir), "source", "prose", "body"))
     d = T.bound(d, k=rules.prefer_katakana("block_tokens"))
     d = rules.rare_wago(d, "block_tokens", spark.createDataFrame(_REFERENCE, "lemma string, n long"))
     label = lambda c, rule: F.transform(c, lambda p: F.struct(F.lit(rule).alias("rule"), p["column"].alias("column"), F.split(p["text"], "｜")[0].alias("label")))
@@ -299,7 +299,7 @@ _REFERENCE = [("使う", 90_000), ("これ", 3)]
 
 def ja_glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forms that a glossary rejects, and other forms of defined names."""
-    d = parse.parse(japanese_docs(spark, sf_dir))
+    d = parse.parse(japanese_docs(spark, sf_dir), "source", "blocks")
     d = T.bound(d, v=rules.glossary_variant([("確認", "検査", ["確認。"], False)]), n=rules.defined_names([("使用者", ["利用者"], "名前")]))
     label = lambda c, rule: F.transform(c, lambda p: F.struct(F.lit(rule).alias("rule"), p["column"].alias("column"), F.split(p["text"], "｜")[0].alias("label")))
     return d.select("doc_id", F.inline(F.concat(label("v", "variant"), label("n", "name"))))
