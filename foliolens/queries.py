@@ -15,6 +15,7 @@ from foliolens import fixed_values as V
 from foliolens.functions import text as T
 from foliolens.operators import corpus, metrics, parse, profiles, rules, structure, terms
 from foliolens.plans import report
+from foliolens.sources.files import spread
 
 # --- the Markdown corpus -------------------------------------------------------------------------
 
@@ -39,7 +40,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def markdown_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("doc_id is not null")
+    d = spread(table(spark, sf_dir, "documents")).where("doc_id is not null")
     return d.select("doc_id", "lang", F.col("source").alias("domain"), F.expr(_SPARK_MD).alias("source"), F.expr(_TYPE).alias("doctype"))
 
 
@@ -244,7 +245,7 @@ def balance_quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _counts(spark: SparkSession, sf_dir: str, *groups: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("doc_id is not null")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", *groups)).where("doc_id is not null")
     d = T.bound(d.select("doc_id", "text", *groups), w=T.reference_words(F.coalesce("text", F.lit(""))))
     return corpus.word_counts(d, F.col("w"), *groups)
 
@@ -271,7 +272,7 @@ def words_in_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_keyness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that good documents use far more or far less than others, by label."""
     labels = table(spark, sf_dir, "labels").where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q"))
-    docs = table(spark, sf_dir, "documents").join(labels, "doc_id")
+    docs = spread(table(spark, sf_dir, "documents")).join(labels, "doc_id")
     d = corpus.word_counts(T.bound(docs.select("doc_id", "q", "text"), w=T.reference_words(F.coalesce("text", F.lit("")))), F.col("w"), "q")
     k = corpus.keyness(d.where("q = 1"), d.where("q = 0"))
     return k.select("word", "a", "b", F.round("g2", 6).alias("g2"), F.round("log_ratio", 6).alias("log_ratio"), "side")
@@ -304,7 +305,7 @@ _PATTERNS = {"comma": ",", "question": r"[?]", "digits": "[0-9]+", "symbols": "[
 
 
 def pattern_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = corpus.pattern_rates(table(spark, sf_dir, "documents").where("lang is not null").withColumn("text", F.coalesce("text", F.lit(""))), "text", _PATTERNS, "lang")
+    d = corpus.pattern_rates(spread(table(spark, sf_dir, "documents").select("lang", "text")).where("lang is not null").withColumn("text", F.coalesce("text", F.lit(""))), "text", _PATTERNS, "lang")
     return d.withColumn("rate", F.round("rate", 9))
 
 

@@ -15,6 +15,7 @@ from foliolens.functions.morphology import Dictionary, token_table, tokenizer
 from foliolens.operators import corpus, metrics, parse, research, rules, structure, terms
 from foliolens.plans import report
 from foliolens.queries import _FINDINGS, _METRICS, _OUTLINE, _PARAGRAPHS, _PROFILE, _WORDS, MD, _counts, _values, markdown_docs, parsed_docs, table
+from foliolens.sources.files import spread
 
 _W = T.UWS
 
@@ -160,7 +161,7 @@ def md_led_to_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 def documents_admitted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by what corpora admit: language, and text beside the template."""
     text = F.coalesce("text", F.lit(""))
-    d = table(spark, sf_dir, "documents").select("doc_id", research.in_target_language(text).alias("language"), research.is_written(text).alias("written"), T.detect_lang(text).alias("detected"), T.detect_style(text).alias("style"))
+    d = spread(table(spark, sf_dir, "documents")).select("doc_id", research.in_target_language(text).alias("language"), research.is_written(text).alias("written"), T.detect_lang(text).alias("detected"), T.detect_style(text).alias("style"))
     return d
 
 
@@ -259,7 +260,7 @@ def _dictionary() -> Dictionary:
 
 
 def japanese_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("doc_id is not null")
+    d = spread(table(spark, sf_dir, "documents")).where("doc_id is not null")
     surfaces = F.array(*(F.lit(t[0]) for t in _TOKENS))
     words = F.split(F.coalesce("text", F.lit("")), " ", -1)
     return d.select("doc_id", "lang", F.array_join(F.transform(words, lambda w, i: F.get(surfaces, F.pmod(F.length(w) + i, F.lit(len(_TOKENS))).cast("int"))), "").alias("source"))

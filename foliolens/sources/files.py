@@ -18,6 +18,16 @@ def documents(spark: SparkSession, path: str, glob: str = "*.md") -> DataFrame:
     return d.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("source"))
 
 
+def spread(df: DataFrame, times: int = 2) -> DataFrame:
+    """df over twice as many partitions as there are cores, where a scan has fewer.
+
+    A file of one row group is read by one task, however many cores wait. Large inputs have more splits than that
+    and are not shuffled.
+    """
+    least = times * df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= least else df.repartition(least)
+
+
 def require_some(docs: DataFrame) -> DataFrame:
     if docs.isEmpty():
         raise ValueError("no documents found")
