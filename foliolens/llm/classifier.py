@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from foliolens.llm.common import crc_mod, discard, hash_sample, mix, range_hash, slices, small_batches, stored, table, text_bytes, with_field, word_spans
 from foliolens.llm.quality_rules import labelled
+from foliolens.sources.files import spread
 
 SAMPLE = 3000
 SLOTS, SHAPES, MARKS = 1 << 15, 1 << 12, 8
@@ -224,5 +225,5 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = table(spark, sf_dir, "documents")
     model = train(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 5) != 0)
-    out = scored(docs.select("doc_id", "text"), model)
+    out = scored(spread(docs.select("doc_id", "text")), model)
     return out.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

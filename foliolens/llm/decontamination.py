@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliolens.llm.common import discard, quoted, small_batches, stored, table
+from foliolens.sources.files import spread
 
 #: Errors allowed, as a share of an item's characters, and the shortest piece.
 RATE, SHORTEST = 0.06, 8
@@ -161,5 +162,5 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block: in
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, leaked, n_items, item_ids, min_distance) for every document; min_distance is null where nothing is found."""
     small_batches(spark)
-    out = matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    out = matches(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", (F.size("hits") > 0).alias("leaked"), F.size("hits").cast("long").alias("n_items"), F.array_sort("hits.item_id").alias("item_ids"), F.array_min("hits.distance").alias("min_distance"))

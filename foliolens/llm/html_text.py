@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliolens.llm.common import small_batches, table
+from foliolens.sources.files import spread
 
 _VOID = frozenset(("area", "base", "basefont", "bgsound", "br", "col", "embed", "frame", "hr", "img", "input", "keygen", "link", "meta", "param", "source", "track", "wbr"))
 _RAW = frozenset(("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript", "template", "svg", "math"))
@@ -293,4 +294,4 @@ def extract_text(pages: DataFrame, html_column: str = "html") -> DataFrame:
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return extract_text(table(spark, sf_dir, "pages"))
+    return extract_text(spread(table(spark, sf_dir, "pages")))

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from foliolens.llm.common import mix, small_batches, table, with_field
+from foliolens.sources.files import spread
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK, LITERAL = "▁", "\udc81"  # the second, which no text holds, stands for a literal mark
@@ -391,5 +392,5 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str, model: str = MODEL) -> D
     """
     small_batches(spark)
     shared = Pieces.load(model).shared(spark)
-    rows = table(spark, sf_dir, "documents").selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as string) as text")
+    rows = spread(table(spark, sf_dir, "documents")).selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as string) as text")
     return rows.mapInArrow(partial(_digested, shared), "doc_id long, n_ids long, n_byte_ids long, ids_sha256 string, round_trip boolean")

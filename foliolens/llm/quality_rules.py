@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliolens.llm.common import hash_sample, table, words
+from foliolens.sources.files import spread
 
 #: About so many labelled rows at most are learned from, chosen by a hash of their id.
 SAMPLE = 4000
@@ -170,7 +171,7 @@ def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rules = learn_rules(docs, table(spark, sf_dir, "labels"))
-    return judge(docs.select("doc_id", "text"), rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+    return judge(spread(docs.select("doc_id", "text")), rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
 BASE_SQL = r"""

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliolens.llm.common import LOWER, discard, small_batches, stored, table
+from foliolens.sources.files import spread
 
 SHIFTS, WIDTHS = (0, 21, 42), (21, 21, 22)
 #: A key with more distinct fingerprints than this goes the other, exact way.
@@ -226,4 +227,4 @@ def hexed(fp: str) -> F.Column:
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", hexed("fp").alias("fingerprint"), "component_id")
+    return near_duplicates(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", hexed("fp").alias("fingerprint"), "component_id")

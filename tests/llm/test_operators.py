@@ -286,3 +286,186 @@ def test_empty_tables(spark):
     assert simhash.near_duplicates(docs).collect() == []
     assert quality_rules.judge(docs, quality_rules.learn_rules(docs, spark.createDataFrame([], "doc_id long, quality int"))).collect() == []
     assert decontamination.matches(docs, spark.createDataFrame([], "item_id long, text string")).collect() == []
+
+
+# --- ids of any size, nulls, repeats, long texts, clashing names -----------------------------------
+
+
+def test_url_ids_are_returned_as_they_are(spark):
+    ids = [2**53 + k for k in range(12)] + [2**62 + 1, -5, None, None]
+    pages = spark.createDataFrame([(k, f"http://a{n % 3}.example.com/en/7{'x' * n}") for n, k in enumerate(ids)] + [(7, "http://example.net/de/8")] * 3, "page_id long, url string")
+    out = url_filters.judge_urls(pages, url_filters.rules_frame(spark)).collect()
+    key = lambda x: (x is None, x or 0)
+    assert sorted((r.page_id for r in out), key=key) == sorted([*ids, 7, 7, 7], key=key)
+    assert all(r.rule == ("example.net/de/8" if r.page_id == 7 else "example.com/en/7") for r in out)
+
+
+def test_url_rules_that_are_odd(spark):
+    rules = spark.createDataFrame([("h.x", None, "block"), (None, "/", "block"), ("", "/", "block"), ("i.x", "/", "allow"), ("i.x", "/", "block"), ("j.x", "/", None)], "host string, path string, verdict string")
+    pages = spark.createDataFrame([(k, u, "c") for k, u in enumerate(["http://h.x", "http://i.x/", "http://j.x/", "http://" + "long." * 3000 + "h.x/" + "p" * 100_000])], "page_id long, url string, verdict string")
+    out = {r.page_id: (r.rule, r.verdict) for r in url_filters.judge_urls(pages, rules).collect()}
+    assert out == {0: ("h.x", "block"), 1: ("i.x/", "block"), 2: (None, "allow"), 3: ("h.x", "block")}
+    assert {r.verdict for r in url_filters.judge_urls(pages, rules.limit(0)).collect()} == {"allow"}
+
+
+def test_equal_urls_are_sampled_within_bounds(spark):
+    pages = spark.range(60_000).select(F.lit(1).cast("long").alias("page_id"), F.lit("http://example.com/en/7").alias("url"))
+    out = url_filters.judge_urls(pages, url_filters.rules_frame(spark))
+    assert out.groupBy("page_id", "rule", "verdict").count().collect() == [(1, "example.com/en/7", "allow", 60_000)]
+
+
+def test_warc_urls_and_missing_ids(spark, tmp_path):
+    same = "x" * 150
+    urls = ["a/b%20c", "%250", "%25", "% 0", "a%0Ab\r\n", "\x00%00", "é %é"]
+    rows = [(k, u, f"{k}") for k, u in enumerate(urls)] + [(None, "n1", same), (None, "n2", same), (50, "m", same), (None, "l", "y" * 150)]
+    pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, refers_to int")
+    path = f"file://{tmp_path}/warc"
+    warc.write_archives(pages, path)
+    records = warc.read_archives(spark, path).collect()
+    assert sorted(r.url for r in records) == sorted(u for _, u, _ in rows)
+    out = sorted((r.page_id if r.page_id is not None else -1, r.record_type, r.refers_to, r.payload_bytes) for r in warc.resolved(warc.read_archives(spark, path)).collect())
+    assert out[:3] == [(-1, "response", None, 150), (-1, "revisit", 50, 150), (-1, "revisit", 50, 150)] and out[-1] == (50, "response", None, 150)
+    warc.write_archives(pages.limit(0), f"{path}0")
+    assert warc.resolved(warc.read_archives(spark, f"{path}0")).collect() == []
+
+
+def brute_density(page):
+    """Density of each node by its definition, from counts of its whole subtree."""
+    import math
+
+    t = html_text._parse(page)
+    kids = {k: [j for j in range(len(t.tag)) if t.parent[j] == k and not t.gone[j]] for k in range(len(t.tag))}
+    below = lambda k: [k] + [j for c in kids[k] for j in below(c)]
+    up = lambda k: [k] + (up(t.parent[k]) if t.parent[k] >= 0 else [])
+    own = [sum(len(" ".join(s.split())) for n, _, s in t.texts if n == k) for k in range(len(t.tag))]
+    linked = [any(t.tag[j] == "a" or t.named[j] for j in up(k)) for k in range(len(t.tag))]
+    count = lambda k: (sum(own[j] for j in below(k)), sum(own[j] for j in below(k) if linked[j]), len(below(k)) - 1, sum(t.tag[j] == "a" for j in below(k)[1:]))
+    body = next(k for k in range(len(t.tag)) if t.tag[k] == "body")
+    share = count(body)[1] / count(body)[0]
+    out = []
+    for k in range(len(t.tag)):
+        c, lc, n, lt = count(k)
+        if t.gone[k] or not c or c > 1 and lc >= c:
+            out.append(0.0)
+            continue
+        base = math.log(c / max(1, c - lc) * lc + share * c + math.e)
+        out.append(c / max(1, n) * max(0.0, math.log(c / max(1, lc) * max(1, n) / max(1, lt))) / base)
+    return t, own, out
+
+
+def test_densities_equal_their_definition():
+    t, own, want = brute_density(PAGE)
+    got, _ = html_text.node_densities(t.parent, t.tag, t.gone, t.named, own)
+    assert len(got) == len(want) and all(abs(a - b) < 1e-9 for a, b in zip(got, want, strict=True))
+
+
+def test_density_decides_what_is_content(monkeypatch):
+    page = "<body><div><ul>" + "<li><a href=x>Go there</a></li>" * 9 + "</ul></div><div><p>" + "Words of the text, and more of them. " * 5 + "</p><p>" + "A second part with its own words. " * 5 + "</p></div></body>"
+    text = html_text.main_text(page)
+    assert text.startswith("Words of") and "Go there" not in text and text.count("\n") == 1
+    monkeypatch.setattr(html_text, "node_densities", lambda *x, f=html_text.node_densities: ([1.0] * len(x[1]), f(*x)[1]))
+    assert html_text.main_text(page) != text and "Go there" in html_text.main_text(page)
+
+
+def test_names_that_only_sound_like_adverts_stay():
+    text = "Text of the article goes here, and on it goes for long. " * 4
+    page = f"<article><p>{text}</p><div class='share-price'><p>{text}</p></div><div id='alert-rules'>{text}</div><div class='comments'><p>{text}</p></div></article>"
+    assert html_text.main_text(page).count("\n") == 2
+
+
+def test_deep_and_broken_pages_take_linear_time():
+    import time
+
+    for page in ("<div>" * 60_000 + "</p>x" * 60_000, "<b>" * 60_000 + "<div><i>" * 60_000 + "</b>" * 60_000, "<table><tr><td>" * 30_000 + "x"):
+        began = time.time()
+        html_text.main_text(page)
+        assert time.time() - began < 20
+
+
+def test_probabilities_of_the_language_model_are_below_one(spark):
+    docs = spark.createDataFrame([(None, "a b a b"), (None, "a b a b"), (3, "word " * 50_000), (3, "word"), (4, "unseen words here")], "doc_id long, text string")
+    out = pitman_yor.score(docs, F.coalesce(F.col("doc_id") != 4, F.lit(True)), F.coalesce(F.col("doc_id") == 4, F.lit(False)), chunk_tokens=1000).collect()
+    assert len(out) == 5 and sorted((r.doc_id or 0) for r in out) == [0, 0, 3, 3, 4] and all(r.score < 0 for r in out)
+    assert out[0].train_tokens == 5 + 5 + 50_001 + 2
+
+
+def test_classifier_edge_cases(spark):
+    docs = spark.createDataFrame([(k, ("good words of prose " if k % 2 else "### $$$ 123 ") * 20) for k in range(60)] + [(None, "x")] * 2 + [(1, "huge " * 200_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)] + [(None, 1), (1, 1)], "doc_id long, quality int")
+    model = classifier.train(docs, labels, F.lit(True), 40)
+    assert model[1] is not None and classifier.scored(docs, model).count() == 63 and classifier.scored(docs.limit(0), model).count() == 0
+
+
+def test_conversations_edge_cases(spark):
+    kind = "conv_id long, turn long, role string, text string"
+    assert chat.format_chats(spark.createDataFrame([], kind)).count() == 0
+    rows = [(1, 0, "user", "a"), (1, 0, "user", "a"), (2, None, "user", "b"), (2, 1, "assistant", "c" * 300_000)]
+    out = {r.conv_id: r for r in chat.read_chats(chat.format_chats(spark.createDataFrame(rows, kind))).collect()}
+    assert out[1].n_turns == 2 and out[2].n_turns == 2 and out[2].loss_chars == 300_000
+
+
+def test_pieces_give_the_ids_of_the_library(spark):
+    import sentencepiece
+
+    library, p, rng = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL), pieces.Pieces.load(pieces.MODEL), random.Random(17)
+    texts = ["Über straße — 日本語 \U0001f600", "a  b", "x" * 500, "1,234.5 %$#", " lead", "trail ", "日本語の文章です。" * 300, "aaaaabbbb" * 100, "\n\n\t x y", "the   the    end", "中文字符" * 20, "def f(x):\n    return x+1\n", "\x00\x01 ​"]
+    texts += ["".join(rng.choice("abcdethinrs  .\nßé日") for _ in range(rng.randrange(1, 300))) for _ in range(200)] + [text_of(rng, 50) for _ in range(50)]
+    for t, ids in zip(texts, pieces.encode(p, texts), strict=True):
+        assert ids.tolist() == library.encode(t) and pieces.decode(p, ids.tolist()) == t
+    assert spark.createDataFrame([], "doc_id long, text string").count() == pieces.encoded(spark.createDataFrame([], "doc_id long, text string"), p).count() == 0
+
+
+def test_viterbi_finds_the_best_sum():
+    from itertools import product
+
+    rng = random.Random(18)
+    vocabulary = sorted({"".join(x) for n in (1, 2, 3) for x in product("ab", repeat=n) if n == 1 or rng.random() < 0.6})
+    names = [f"<{b:02X}>" for b in range(256)] + vocabulary
+    scores = [0.0] * 256 + [-rng.random() * 9 for _ in vocabulary]
+    p = pieces.Pieces(names, scores, list(range(256)), set())
+    known = dict(zip(vocabulary, scores[256:], strict=True))
+
+    def best(u):
+        return 0.0 if not u else max(known[u[:n]] + best(u[n:]) for n in range(1, len(u) + 1) if u[:n] in known)
+
+    for n in range(1, 9):
+        units = ["".join(rng.choice("ab") for _ in range(n)) for _ in range(20)]
+        ids, counts = pieces.best_pieces(p, units)
+        for u, end, size in zip(units, np.cumsum(counts), counts, strict=True):
+            own = [names[i] for i in ids[end - size : end]]
+            assert "".join(own) == u and abs(sum(known[x] for x in own) - best(u)) < 1e-9
+
+
+def test_quality_base_equals_its_sql(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{sf}/documents.parquet')")
+    want = {r[0]: r[1:] for r in con.execute(quality_rules.BASE_SQL).fetchall()}
+    got = {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in quality_rules.judge(spark.read.parquet(f"{sf}/documents.parquet"), []).collect()}
+    assert got == want
+
+
+def test_short_items_and_blocks(spark):
+    docs = spark.createDataFrame([(1, "the cat sat on a mat"), (None, "a long enough passage to be found, said she"), (None, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "a"), (2, "the"), (3, "a long enough passage to be found"), (4, "A LONG enough passage too be found"), (4, "A LONG enough passage too be found")], "item_id long, text string")
+    out = {(r.doc_id, r.text): [h.item_id for h in r.hits] for r in decontamination.matches(docs, items, block=30).collect()}
+    assert out == {(1, "the cat sat on a mat"): [], (None, "a long enough passage to be found, said she"): [3, 4], (None, None): []} or sorted(out[None, "a long enough passage to be found, said she"]) == [3, 4]
+
+
+def test_near_duplicates_without_ids(spark):
+    docs = spark.createDataFrame([(None, "x y z"), (None, "x y z"), (None, None), (9, "x y z"), (4, " "), (2**60, "w " * 100_000)], "doc_id long, text string")
+    out = sorted((r.doc_id or 0, r.component_id) for r in simhash.near_duplicates(docs).collect())
+    assert out == [(0, 4), (0, 9), (0, 9), (4, 4), (9, 9), (2**60, 2**60)]
+
+
+def test_shared_folder_has_to_be_named_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from foliolens.llm import common
+
+    bare = lambda master, dir=None: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d), sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: dir))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(bare("spark://host:7077"))
+    assert common.shared_dir(bare("spark://host:7077", "hdfs://x/y/")) == "hdfs://x/y" and common.shared_dir(bare("local[2]")).startswith("file:///")
