@@ -228,14 +228,14 @@ def verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, size: int = SI
     return found
 
 
-def _pairs(left: DataFrame, right: DataFrame, similar: tuple[int, int], once: bool = True) -> DataFrame:
-    """(a, b), a < b, of rows of both sides that share a key, are not connected yet, and that size and place let be similar."""
+def _pairs(left: DataFrame, right: DataFrame, similar: tuple[int, int], once: bool = True, of: bool = False) -> DataFrame:
+    """(a, b), a < b, of rows of both sides that share a key, are not connected yet, and that size and place let be similar; with of, the right side's one."""
     p, q = similar
     a = left.select("key", F.col("nid").alias("x"), F.col("n").alias("nx"), F.col("place").alias("px"), F.col("root").alias("rx"))
     b = right.select("key", F.col("nid").alias("y"), F.col("n").alias("ny"), F.col("place").alias("py"), F.col("root").alias("ry"))
     fits = F.expr(f"{q} * least(nx, ny) >= {p} * greatest(nx, ny) and {p + q} * least(nx - px, ny - py) >= {p} * (nx + ny) and rx <> ry")
     differ = F.col("x") < F.col("y") if once else F.col("x") != F.col("y")
-    return a.join(b, "key").where(differ & fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return a.join(b, "key").where(differ & fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), *([F.col("y").alias("of")] if of else []))
 
 
 def rooted(keys: DataFrame, roots: DataFrame) -> DataFrame:
@@ -268,6 +268,16 @@ def links(rows: DataFrame, nodes: DataFrame, common, size: int = SIZE, similar:
     keys = stored(rooted(every.join(shared, "key", "left_semi").distinct(), components(found)), "keys")
     discard(shared)
     release(spark)
+    # First each node is held against one other, the first of a key that they share, of those the one with the most
+    # keys in common. That connects nearly all of a large group, and costs no more pairs than there are nodes.
+    first = keys.groupBy("key").agg(F.min(F.struct(F.xxhash64("nid").alias("h"), "nid", "n", "place", "root")).alias("r")).select("key", "r.nid", "r.n", "r.place", "r.root")
+    usual = F.when(F.col("a") == F.col("of"), F.col("b")).otherwise(F.col("a"))
+    near = _pairs(first, keys, similar, once=False, of=True).withColumn("other", usual).groupBy("of", "other").agg(F.count(F.lit(1)).alias("c"))
+    near = near.groupBy("of").agg(F.max(F.struct("c", "other")).alias("m")).select(F.least("of", "m.other").alias("a"), F.greatest("of", "m.other").alias("b"))
+    found = found.unionByName(verified(near, rows, nodes, size, similar))
+    before, keys = keys, stored(rooted(keys.drop("root"), components(found)), "keys")
+    discard(before)
+    release(spark)
     # A key all of whose nodes are connected has nothing to add.
     counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
     counts = stored(counts.select("key", "c"), "counts")
