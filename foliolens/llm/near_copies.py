@@ -248,7 +248,8 @@ def simhash_pairs(rows: DataFrame) -> DataFrame:
     """(a, b): nids whose fingerprints are equal or linked within two bits, as far as is needed to connect them."""
     prints = stored(rows.select("fp", nid_of("node").alias("nid")).distinct(), "prints")
     first = prints.groupBy("fp").agg(F.min("nid").alias("a"))
-    near = simhash.links(first.select("fp"))
+    # One neighbour each: a large group has links without number, and what stays apart by this is found by prefixes.
+    near = simhash.links(first.select("fp")).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     same = prints.join(first, "fp").select("a", F.col("nid").alias("b"))
     other = near.join(first.toDF("a", "x"), "a").join(first.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     return same.unionByName(other).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
