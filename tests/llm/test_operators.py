@@ -110,6 +110,53 @@ def test_pitman_yor_learns_more_than_its_base(spark):
     assert pitman_yor.score(docs.limit(0), ~held, held).collect() == []
 
 
+def test_pitman_yor_probabilities_add_up_after_every_context():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(7)
+    names = np.sort(rng.integers(1, 1 << 63, 31, dtype=np.uint64))  # the last one is never seen
+    endings = np.array([97 << 8 | 98, 98 << 8 | 98, 97 << 8 | 99], np.uint16)
+    contexts = np.array([97 << 8 | 98, 98 << 8 | 98, 97 << 8 | 99, *(pitman_yor.WORDS + k for k in range(3))], np.uint32)
+    w, c = (x.ravel() for x in np.meshgrid(names, contexts, indexing="ij"))
+    n = np.where(w == names[-1], 0, rng.integers(0, 90, len(w)) * rng.integers(0, 2, len(w))).astype(np.uint32)
+    row = pitman_yor._merged(endings, pa.table({"bucket": pa.array([0], pa.int32()), "chunk": [5], "words": [w.tobytes()], "contexts": [pitman_yor._planes(c)], "counts": [pitman_yor._planes(n)]})).to_pylist()[0]
+    own = pitman_yor._Bucket(row)
+    own.start()
+    place = pitman_yor._unplanes(row["place"], np.uint32)
+    for tables in (None, [lambda n: np.maximum(n // 3, np.minimum(n, 1))] * 4):
+        if tables:
+            for level in reversed(pitman_yor.LEVELS):
+                own.seated(level, tables[level](own.n[level]))
+        customers, seats, _, _ = pitman_yor._none(3)
+        for _, level, context, a, b, _, _ in own.totals(0):
+            customers[level][context], seats[level][context] = a, b
+        p = own.probabilities([0.3, 0.4, 0.5, 0.6], customers, seats, 1 / len(names))[3][place]
+        for context in contexts:
+            assert abs(p[c == context].sum() - 1) < 1e-9
+        assert (own.n[1].sum(), own.n[2].sum()) == (own.t[2].sum(), own.t[3].sum() + n[c < pitman_yor.WORDS].sum())
+
+
+def test_pitman_yor_tells_words_of_one_ending_apart(spark):
+    rng = random.Random(11)
+    follows = {"baten": ["red", "blue"], "loten": ["green", "grey"], "miten": ["one", "two"]}
+    rows = [(k, " ".join(x for _ in range(20) for w in [rng.choice(list(follows))] for x in (w, rng.choice(follows[w])))) for k in range(120)]
+    docs, held = spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") % 5 == 0
+    total = {rare: sum(r.score for r in pitman_yor.score(docs, ~held, held, chunk_tokens=700, bucket_types=20, rare=rare).collect() if r.held_out) for rare in (0.25, 1e9)}
+    # After a word one of two follows, after its ending one of six.
+    assert total[0.25] > total[1e9] + 0.8 * 24 * 20 * np.log10(3)
+
+
+def test_frequent_words_match_brute_force(spark):
+    rng = random.Random(12)
+    texts = [" ".join(f"W{int(rng.paretovariate(0.7))}" for _ in range(rng.randint(0, 80))) for _ in range(90)] + [None, "", " \t"]
+    words = [w.lower() for t in texts for w in (t or "").split()]
+    for rare in (0.1, 0.25, 2.0):
+        wanted = {w for w in set(words) if words.count(w) >= max(2, rare * len(words) ** 0.5)}
+        hashes, endings = pitman_yor.frequent_words(spark.createDataFrame([(t,) for t in texts], "text string"), rare, 300)
+        assert len(hashes) == len(wanted) <= len(words) ** 0.5 / rare and (np.diff(hashes.astype(object)) > 0).all()
+        assert sorted(endings.tolist()) == sorted(ord(w[-2]) << 8 | ord(w[-1]) for w in wanted)
+
+
 # --- 5 ------------------------------------------------------------------------------------------
 
 
