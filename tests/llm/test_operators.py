@@ -127,9 +127,9 @@ def test_pitman_yor_probabilities_add_up_after_every_context():
         if tables:
             for level in reversed(pitman_yor.LEVELS):
                 own.seated(level, tables[level](own.n[level]))
-        customers, seats, _, _ = pitman_yor._none(3)
-        for _, level, context, a, b, _, _ in own.totals(0):
-            customers[level][context], seats[level][context] = a, b
+        sums = [np.zeros((4, size), np.int64) for size in pitman_yor._sizes(3)]
+        own.add(sums)
+        customers, seats = ([x[k] for x in sums] for k in (0, 1))
         p = own.probabilities([0.3, 0.4, 0.5, 0.6], customers, seats, 1 / len(names))[3][place]
         for context in contexts:
             assert abs(p[c == context].sum() - 1) < 1e-9
