@@ -136,6 +136,39 @@ def test_pitman_yor_probabilities_add_up_after_every_context():
         assert (own.n[1].sum(), own.n[2].sum()) == (own.t[2].sum(), own.t[3].sum() + n[c < pitman_yor.WORDS].sum())
 
 
+def test_pitman_yor_merges_buckets_in_bounded_parts(spark, monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    chunks = []
+    for k in range(40):  # one word in very many contexts of every chunk
+        c = np.sort(rng.choice(200, 60, replace=False)).astype(np.uint32)
+        chunks.append((k, np.full(60, 7, np.uint64), c, rng.integers(0, 5, 60).astype(np.uint32)))
+    asked = pa.table({"bucket": pa.array([0] * 40, pa.int32()), "chunk": [k for k, *_ in chunks], "words": [w.tobytes() for _, w, _, _ in chunks], "contexts": [pitman_yor._planes(c) for _, _, c, _ in chunks], "counts": [pitman_yor._planes(n) for *_, n in chunks]})
+    rows = [r for b in pitman_yor._buckets(np.zeros(0, np.uint16), 100, 300, iter(asked.to_batches())) for r in b.to_pylist()]
+    assert len(rows) > 5 and all(len(r["place"]) // 4 <= 300 + 2 * 100 for r in rows)
+    assert [r["context"] is None for r in rows] == [True] * (len(rows) - 1) + [False]
+    context, n = pitman_yor._unplanes(rows[-1]["context"], np.uint32), pitman_yor._unplanes(rows[-1]["n"], np.uint32)
+    assert len(context) == len(set(context)) == len(set(np.concatenate([c for _, _, c, _ in chunks])))
+    wanted = np.zeros(200, np.int64)
+    for _, _, c, k in chunks:
+        wanted[c] += k
+    assert (n == wanted[context]).all()
+    place = np.concatenate([pitman_yor._unplanes(r["place"], np.uint32) for r in rows])
+    assert (context[place] == np.concatenate([c for _, _, c, _ in chunks])).all()
+    assert np.concatenate([np.frombuffer(r["chunks"], np.int64) for r in rows]).tolist() == list(range(40))
+
+    # Scores do not depend on how many rows a bucket's places stand in.
+    texts = [" ".join(rng.choice(["the", "a", *(f"w{k}" for k in range(30))], 40)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held = F.col("doc_id") % 7 == 2
+    found = {}
+    for parts in (1000, 0):
+        monkeypatch.setattr(pitman_yor, "PARTS", parts)
+        found[parts] = sorted(pitman_yor.score(docs, ~held, held, chunk_tokens=100, bucket_types=100).collect())
+    assert found[0] == found[1000] and len(found[0]) == 60
+
+
 def test_pitman_yor_tells_words_of_one_ending_apart(spark):
     rng = random.Random(11)
     follows = {"baten": ["red", "blue"], "loten": ["green", "grey"], "miten": ["one", "two"]}
