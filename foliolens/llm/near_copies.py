@@ -6,7 +6,7 @@ the limit, so what they leave is found by prefixes: of two sets with a Jaccard s
 whose members are put in one order, the first n - ceil(0.8 n) + 1 have one in common. So
 these are a text's keys, and no such pair is missed whatever the order. Runs that are common in
 a sample of the texts come last in it, so keys are rare. Pairs of a key are narrowed by size, place
-and a sketch of the sets, and every link is verified on the whole sets.
+and a sketch of the sets (folded to 128 bits within the join on keys, whole after it), and every link is verified on the whole sets.
 
 Nodes that are connected already need no further link, so such pairs are left out. A key of many nodes is not expanded into pairs:
 its nodes are held against a few of them first, and then only those outside its largest component against all.
@@ -92,6 +92,12 @@ def _sketch(own: np.ndarray) -> bytes:
     return np.packbits((counts & 1).astype(np.uint8)).tobytes()
 
 
+def _folded(sketch: bytes) -> tuple[int, int]:
+    """A sketch folded to 128 bits, as two signed numbers; what holds of differing bits holds of these too."""
+    words = np.bitwise_xor.reduce(np.frombuffer(sketch, np.uint64).reshape(-1, 2), axis=0).view(np.int64)
+    return int(words[0]), int(words[1])
+
+
 def _apart(x: bytes, y: bytes) -> int:
     """Bits in which two sketches differ, the larger one folded."""
     a, b = (np.frombuffer(v, np.uint64) for v in (x, y))
@@ -107,8 +113,9 @@ def _with_nodes(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
     for batch in batches:
         texts = _bytes_of(pc.struct_field(batch.column("row"), "text"))
         sets = [shingle_set(x, size) for x in texts]
-        columns = [pa.array([xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array(fingerprints(texts, size), pa.int64()), pa.array([_sketch(x) for x in sets], pa.binary())]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "node", "n", "fp", "sketch"])
+        columns = [pa.array([xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array(fingerprints(texts, size), pa.int64()), pa.array(sketches := [_sketch(x) for x in sets], pa.binary())]
+        folded = np.array([_folded(x) for x in sketches], np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([*batch.columns, *columns, pa.array(folded[:, 0]), pa.array(folded[:, 1])], [*batch.schema.names, "node", "n", "fp", "sketch", "s0", "s1"])
 
 
 #: What a key says of a node (its first eight bytes, its size, and where the key stands in its prefix).
@@ -229,11 +236,11 @@ def verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, size: int = SI
 
 
 def _pairs(left: DataFrame, right: DataFrame, similar: tuple[int, int], once: bool = True) -> DataFrame:
-    """(a, b), a < b, of rows of both sides that share a key, are not connected yet, and that size and place let be similar."""
+    """(a, b), a < b, of rows of both sides that share a key, are not connected yet, and that size, place and folded sketch let be similar."""
     p, q = similar
-    a = left.select("key", F.col("nid").alias("x"), F.col("n").alias("nx"), F.col("place").alias("px"), F.col("root").alias("rx"))
-    b = right.select("key", F.col("nid").alias("y"), F.col("n").alias("ny"), F.col("place").alias("py"), F.col("root").alias("ry"))
-    fits = F.expr(f"{q} * least(nx, ny) >= {p} * greatest(nx, ny) and {p + q} * least(nx - px, ny - py) >= {p} * (nx + ny) and rx <> ry")
+    a = left.select("key", F.col("nid").alias("x"), F.col("n").alias("nx"), F.col("place").alias("px"), F.col("root").alias("rx"), F.col("s0").alias("x0"), F.col("s1").alias("x1"))
+    b = right.select("key", F.col("nid").alias("y"), F.col("n").alias("ny"), F.col("place").alias("py"), F.col("root").alias("ry"), F.col("s0").alias("y0"), F.col("s1").alias("y1"))
+    fits = F.expr(f"{q} * least(nx, ny) >= {p} * greatest(nx, ny) and {p + q} * least(nx - px, ny - py) >= {p} * (nx + ny) and rx <> ry and {p + q} * (bit_count(x0 ^ y0) + bit_count(x1 ^ y1)) <= {q - p} * (nx + ny)")
     differ = F.col("x") < F.col("y") if once else F.col("x") != F.col("y")
     return a.join(b, "key").where(differ & fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
@@ -266,7 +273,8 @@ def links(rows: DataFrame, nodes: DataFrame, common, size: int = SIZE, similar:
     # Most keys are those of one node only; they go before anything is joined.
     shared = stored(every.groupBy("key").agg(F.min("nid").alias("lo"), F.max("nid").alias("hi")).where("lo < hi").select("key"), "shared")
     release(spark)
-    keys = stored(rooted(every.join(shared, "key", "left_semi").distinct(), components(found)), "keys")
+    folded = nodes.select("nid", "s0", "s1").distinct()  # nodes of one nid are held by each of their sketches
+    keys = stored(rooted(every.join(shared, "key", "left_semi").distinct(), components(found)).join(folded, "nid"), "keys")
     discard(shared)
     release(spark)
     # A key all of whose nodes are connected has nothing to add.
@@ -280,13 +288,13 @@ def links(rows: DataFrame, nodes: DataFrame, common, size: int = SIZE, similar:
         for x in (keys, counts, members):
             discard(x)
         return found.unionByName(more)
-    first = members.groupBy("key").agg(F.array_distinct(F.array(*(F.min(F.struct(F.xxhash64(F.lit(k), "nid").alias("h"), "nid", "n", "place", "root")) for k in range(REPRESENTATIVES)))).alias("r"))
-    first = first.select("key", F.explode("r").alias("r")).select("key", "r.nid", "r.n", "r.place", "r.root").distinct()
+    first = members.groupBy("key").agg(F.array_distinct(F.array(*(F.min(F.struct(F.xxhash64(F.lit(k), "nid").alias("h"), "nid", "n", "place", "root", "s0", "s1")) for k in range(REPRESENTATIVES)))).alias("r"))
+    first = first.select("key", F.explode("r").alias("r")).select("key", "r.nid", "r.n", "r.place", "r.root", "r.s0", "r.s1").distinct()
     found = found.unionByName(verified(pairs.unionByName(_pairs(first, members, similar, once=False)), rows, nodes, size, similar))
     discard(keys)
     named = stored(rooted(members.drop("root"), components(found)), "named")
     main = named.groupBy("key", "root").count().groupBy("key").agg(F.max(F.struct("count", "root")).alias("m")).select("key", F.col("m.root").alias("main"))
-    rest = named.join(main, "key").where("root <> main").select("key", "nid", "n", "place", "root")
+    rest = named.join(main, "key").where("root <> main").select("key", "nid", "n", "place", "root", "s0", "s1")
     more = verified(_pairs(rest, named, similar, once=False), rows, nodes, size, similar)
     for x in (counts, members, named):
         discard(x)
@@ -303,9 +311,9 @@ def survivors(docs: DataFrame, size: int = SIZE, similar: tuple[int, int] = SIMI
     """
     spark = docs.sparkSession
     own = docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*(F.col(quoted(c)).alias(c) for c in docs.columns)).alias("row"))
-    more = [T.StructField("node", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("sketch", T.BinaryType())]
+    more = [T.StructField("node", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("sketch", T.BinaryType()), T.StructField("s0", T.LongType()), T.StructField("s1", T.LongType())]
     rows = stored(own.mapInArrow(partial(_with_nodes, size), T.StructType([*own.schema.fields, *more])), "rows")
-    nodes = stored(rows.groupBy("node", "n", "sketch").agg(F.min("rid").alias("rid")).withColumn("nid", nid_of("node")), "nodes")
+    nodes = stored(rows.groupBy("node", "n", "sketch", "s0", "s1").agg(F.min("rid").alias("rid")).withColumn("nid", nid_of("node")), "nodes")
     roots = components(links(rows, nodes, common_shingles(docs, size), size, similar))
     others = [F.to_json(F.struct(F.col(f"row.{quoted(c)}").alias(c))) if isinstance(docs.schema[c].dataType, T.MapType | T.ArrayType | T.StructType | T.VariantType) else F.col(f"row.{quoted(c)}").cast("string") for c in docs.columns if c not in ("doc_id", "text")]
     rank = F.struct(F.col("row.doc_id").isNull().alias("i"), F.col("row.doc_id").alias("d"), F.md5(F.col("row.text").cast("binary")).alias("t"), F.xxhash64(F.lit(1), *others).alias("o"), F.col("rid").alias("rid"))

@@ -66,6 +66,27 @@ def test_near_dedup_stage_matches_brute_force(spark, monkeypatch, crowded):
     assert corpus_pipeline.near_dedup_stage(spark, docs.limit(0), "").collect() == []
 
 
+def test_near_dedup_leaves_out_pairs_that_folded_sketches_rule_out(spark, monkeypatch):
+    word = lambda k, n: [f"w{k}x{i}" for i in range(n)]
+    texts = []
+    for k in range(30):  # pairs that share a passage, too short for a similarity of 0.8
+        both = word(f"s{k}", 20)
+        texts += [" ".join(both + word(f"a{k}", 40)), " ".join(both + word(f"b{k}", 40))]
+    near = word("n", 100)
+    texts += [" ".join(near), " ".join([*near[:-1], "other"])]
+    made, pairs = [], near_copies._pairs
+
+    def counted(*args, **more):
+        made.append(out := pairs(*args, **more))
+        made[-1] = out.count()
+        return out
+
+    monkeypatch.setattr(near_copies, "_pairs", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.doc_id for r in near_copies.survivors(docs).orderBy("doc_id").collect()] == list(range(61))
+    assert made and sum(made) <= 12  # at most each key of the one similar pair
+
+
 def test_near_dedup_stage_keeps_rows_whose_ids_clash(spark):
     rng = random.Random(12)
     x, y, z, w = (text_of(rng, 120) for _ in range(4))
