@@ -107,3 +107,17 @@ def test_requests(spark):
     assert ask(method="tools/call", params={"name": "check", "arguments": {}})["result"]["isError"]
     assert "maint/time-dependent" in ask(method="tools/call", params={"name": "check", "arguments": {"text": "It is soon so."}})["result"]["content"][0]["text"]
     assert "## Decision" in brief.brief(spark, "en", doctype="decision") and brief.outlines(spark).count() == 6
+
+
+def test_tokens_are_held_in_batches_of_bounded_size():
+    import pyarrow as pa
+
+    from foliolens.functions.morphology import token_batches
+
+    texts = pa.array([["利用者を確認", "x" * 97], [], None, ["る る", ""]] * 250)
+    dictionary = Dictionary.of("利用者|名詞 確認|名詞 を|助詞")
+    out = list(token_batches(dictionary, iter([texts, texts.slice(0, 0), texts]), most=1000))
+    size = lambda x: sum(len(t) for row in x.to_pylist() for t in row)
+    assert max(map(size, out)) < 1000 + 100 + 2 and len(out) > 40
+    rows = [row for x in out for row in x.to_pylist()]
+    assert len(rows) == 2000 and rows[0][0] == [t._asdict() for t in dictionary.tokenize("利用者を確認")] and rows[1] == rows[2] == [] and [len(t) for t in rows[3]] == [2, 0]
