@@ -55,8 +55,8 @@ def count_of(text: Column, part: str) -> Column:
 
 
 def words(text: Column) -> Column:
-    """Lower-case words: split at white space, trimmed to letters and digits."""
-    return F.filter(F.transform(F.split(text, rf"[{UWS}]+"), lambda w: F.lower(F.regexp_replace(w, r"\A[^\p{L}\p{N}]+|[^\p{L}\p{N}]+\z", ""))), lambda w: w != "")
+    """Lower-case words: split at white space, trimmed to letters and digits; found in one pass over the text."""
+    return F.transform(F.regexp_extract_all(text, F.lit(r"(?U)[\p{L}\p{N}](?:\S*[\p{L}\p{N}])?"), 0), F.lower)
 
 
 def reference_words(text: Column) -> Column:

@@ -13,13 +13,14 @@ from foliolens.functions import text as T
 from foliolens.operators.research import clean_heading
 
 
-def word_counts(docs: DataFrame, words: Column, *groups: str) -> DataFrame:
-    """(groups, word, n, docs): occurrences and documents of each word."""
-    per_doc = docs.select(*groups, words.alias("w")).select(*groups, F.explode("w").alias("word"))
-    held = docs.select(*groups, F.explode(F.array_distinct(words)).alias("word"))
-    n = per_doc.select(*groups, "word", F.lit(1).alias("n"), F.lit(0).alias("d"))
-    d = held.select(*groups, "word", F.lit(0).alias("n"), F.lit(1).alias("d"))
-    return n.unionByName(d).groupBy(*groups, "word").agg(F.sum("n").alias("n"), F.sum("d").alias("docs"))
+def word_counts(docs: DataFrame, words: Column, *groups: str, documents: bool = True) -> DataFrame:
+    """(groups, word, n, docs): occurrences and documents of each word, in one pass; without documents no docs."""
+    if not documents:
+        return docs.select(*groups, F.explode(words).alias("word")).groupBy(*groups, "word").agg(F.count(F.lit(1)).alias("n"))
+    # In order, the first of equal words stands for the document.
+    d = T.bound(docs, _words=F.sort_array(words)).select(*groups, "_words")
+    first = F.transform("_words", lambda w, i: F.struct(w.alias("word"), F.when(F.get("_words", i - 1) == w, 0).otherwise(1).alias("first")))
+    return d.select(*groups, F.inline(first)).groupBy(*groups, "word").agg(F.count(F.lit(1)).alias("n"), F.sum("first").alias("docs"))
 
 
 def reference_table(counts: DataFrame, domain: str, domains: tuple[str, ...] | None = None, least_domains: int = 2, least: int = 1) -> DataFrame:
@@ -105,7 +106,7 @@ def firing_rates(docs: DataFrame, positions: DataFrame, key: str, *groups: str)
 def in_all(counts: DataFrame, model: str, least: int = 3) -> DataFrame:
     """Words that every model has often enough."""
     held = counts.where(F.col("n") >= least)
-    models = counts.select(F.countDistinct(model).alias("models"))
+    models = counts.select(F.countDistinct(F.when(F.col("n") >= 0, F.col(model))).alias("models"))  # with n, so that both sides share one shuffle
     return held.groupBy("word").agg(F.countDistinct(model).alias("k"), F.sum("n").alias("n")).join(F.broadcast(models), F.col("k") == F.col("models")).select("word", "n")
 
 

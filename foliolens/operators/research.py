@@ -160,14 +160,16 @@ def led_to_lists(parsed: DataFrame, pattern: str, *groups: str) -> DataFrame:
 
 
 def pair_counts(counts: DataFrame, pairs: DataFrame, domain: str) -> DataFrame:
-    """(ours, theirs, domain, ours_n, theirs_n) for every pair of words (ours, theirs) in every domain of (domain, word, n)."""
-    domains = counts.select(domain).distinct()
-    long = pairs.select("ours", "theirs", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("ours").alias("word")), F.struct(F.lit(1).alias("side"), F.col("theirs").alias("word")))).alias("x")).select("ours", "theirs", "x.*")
-    held = counts.join(long, "word").groupBy("ours", "theirs", domain).agg(*(F.sum(F.when(F.col("side") == k, F.col("n")).otherwise(0)).alias(f"{s}_n") for k, s in enumerate(("ours", "theirs"))))
-    every = pairs.select("ours", "theirs").distinct().join(F.broadcast(domains), how="cross") if domains.limit(1001).count() <= 1000 else None
-    if every is None:
-        raise ValueError("more than a thousand domains")
-    return every.join(held, ["ours", "theirs", domain], "left").na.fill(0, ["ours_n", "theirs_n"])
+    """(ours, theirs, domain, ours_n, theirs_n) for every pair of words (ours, theirs) in every domain of (domain, word, n).
+
+    counts is read once: a domain becomes one row with the counts of the pairs' words.
+    """
+    pairs = pairs.select("ours", "theirs").distinct()
+    words = pairs.select(F.explode(F.array("ours", "theirs")).alias("word")).where("word is not null").distinct().withColumn("_held", F.lit(True))
+    own = counts.join(F.broadcast(words), "word", "left").select(domain, F.when(F.col("_held"), F.col("word")).alias("word"), "n").groupBy(domain, "word").agg(F.sum("n").alias("n"))
+    held = own.groupBy(domain).agg(F.map_from_entries(F.collect_list(F.when(F.col("word").isNotNull(), F.struct("word", "n")))).alias("_n"))
+    n = lambda side: F.coalesce(F.try_element_at("_n", F.col(side)), F.lit(0)).cast("long").alias(f"{side}_n")
+    return held.join(F.broadcast(pairs), how="cross").select("ours", "theirs", domain, n("ours"), n("theirs"))  # a row for each domain
 
 
 def picked(text: Column, forms: list[str]) -> Column:

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from foliolens import queries_research
 from foliolens.functions import text as T
 from foliolens.operators import corpus, profiles, research
 from foliolens.sources import files
@@ -74,3 +75,31 @@ def test_settings(spark, tmp_path):
     files.write_terms(spark.createDataFrame([('a"b\\c', "en", 1)], "word string, lang string, count long"), f"{tmp_path}/t")
     text = "\n".join(r.value for r in spark.read.text(f"{tmp_path}/t").collect())
     assert files.settings(text)["term"][0]["word"] == 'a"b\\c'
+
+
+def test_words_are_as_by_splitting_and_trimming(spark):
+    import re
+    import unicodedata
+
+    texts = ["", " ", "a", "--a--b..", "don't  STOP\u3000x\u00a0y\u0085z\u180ew", "12 1a a1 _1_ (é)’s", "\U0001d400\U0001f600 x\U0001f600y \u200b", "ǅ İ ΑΣ, Σ", "\x1cq\x1fr s\x0bt", "9" * 30_000 + "-" * 30_000]
+    white = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+    held = lambda c: unicodedata.category(c)[0] in "LN"
+    trimmed = lambda w: w[min((k for k, c in enumerate(w) if held(c)), default=len(w)) : max((k + 1 for k, c in enumerate(w) if held(c)), default=0)]
+    got = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", T.words(F.col("t")).alias("w")).collect()
+    for r in got:
+        assert [w.lower() for w in r.w] == [w.lower() for w in map(trimmed, re.split(white, texts[r.k])) if w], texts[r.k][:50]
+
+
+def test_counts_of_pairs_and_words_read_the_texts_once(spark, tmp_path):
+    def scans(d):
+        return d._jdf.queryExecution().executedPlan().toString().count("Scan parquet") - d._jdf.queryExecution().executedPlan().toString().count("ReusedExchange")
+
+    rows = [(1, "the der the", "a"), (2, "und x", "b"), (3, "y y y", None), (4, "...", "c"), (5, None, "a"), (6, "z", "d")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("lang", F.col("source")).write.parquet(f"{tmp_path}/documents.parquet")
+    d = queries_research.source_pairs(spark, str(tmp_path))
+    assert scans(d) == 1
+    got = {(r.ours, r.source): (r.ours_n, r.theirs_n) for r in d.collect()}
+    assert len(got) == 12 and got["the", "a"] == (2, 1) and got["and", "b"] == (0, 1) and got["zzz", "d"] == (0, 0)
+    assert scans(queries_research.word_adoption(spark, str(tmp_path))) <= 2
+    counts = corpus.word_counts(spark.createDataFrame([("g", ["b", "a", "b"]), ("g", ["b"]), ("h", [])], "g string, w array<string>"), F.col("w"), "g")
+    assert {tuple(r) for r in counts.collect()} == {("g", "a", 1, 1), ("g", "b", 3, 2)}
