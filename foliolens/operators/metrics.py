@@ -38,9 +38,9 @@ def _prose_ratio() -> Column:
     return F.when(body == 0, 0.0).otherwise(T.count_chars(F.col("prose")) / body)
 
 
-def _long(df: DataFrame, lang: str, metrics: dict[str, Column], *keys: str) -> DataFrame:
-    pairs = F.array(*(F.struct(F.lit(f"{lang}.{n}").alias("metric"), c.cast("double").alias("value")) for n, c in metrics.items()))
-    return df.select(*keys, F.lit(lang).alias("lang"), F.inline(pairs)).where("value is not null")
+def _pairs(lang: str, metrics: dict[str, Column]) -> Column:
+    """array<struct<metric, value>> of those that apply."""
+    return F.filter(F.array(*(F.struct(F.lit(f"{lang}.{n}").alias("metric"), c.cast("double").alias("value")) for n, c in metrics.items())), lambda x: x["value"].isNotNull())
 
 
 def measured_en(parsed: DataFrame) -> DataFrame:
@@ -51,11 +51,19 @@ def measured_en(parsed: DataFrame) -> DataFrame:
     return mattr(d, "words", "mattr100").drop("_low")
 
 
-def metrics_en(parsed: DataFrame, *keys: str) -> DataFrame:
-    """(keys, lang, metric, value); similes only of documents with enough words."""
+def with_metrics(parsed: DataFrame, lang: str) -> DataFrame:
+    """parsed with measured: array<struct<metric, value>>; similes only of English documents with enough words."""
+    if lang == "ja":
+        d = measured_ja(parsed)
+        return d.select(*parsed.columns, _pairs(lang, {n: F.col(n) for n in JA_METRICS}).alias("measured"))
     d = measured_en(parsed)
     simile = F.when(F.col("n_words") >= V.MIN_WORDS_FOR_SIMILE, T.per_1k(F.col("similes"), F.col("n_words")))
-    return _long(d, "en", {"mattr100": F.col("mattr100"), "prose_ratio": F.col("prose_ratio"), "list_ratio": F.col("list_ratio"), "simile_marker_per_1k": simile}, *keys)
+    return d.select(*parsed.columns, _pairs(lang, {"mattr100": F.col("mattr100"), "prose_ratio": F.col("prose_ratio"), "list_ratio": F.col("list_ratio"), "simile_marker_per_1k": simile}).alias("measured"))
+
+
+def metrics_en(parsed: DataFrame, *keys: str) -> DataFrame:
+    """(keys, lang, metric, value)"""
+    return with_metrics(parsed, "en").select(*keys, F.lit("en").alias("lang"), F.inline("measured"))
 
 
 def measured_ja(parsed: DataFrame, prose_tokens: str = "prose_tokens", body_tokens: str = "body_tokens") -> DataFrame:
@@ -85,8 +93,7 @@ JA_METRICS = ("mattr100", "prose_ratio", "renyo_te_ratio", "renyo_per_1k", "te_p
 
 
 def metrics_ja(parsed: DataFrame, *keys: str) -> DataFrame:
-    d = measured_ja(parsed)
-    return _long(d, "ja", {n: F.col(n) for n in JA_METRICS}, *keys)
+    return with_metrics(parsed, "ja").select(*keys, F.lit("ja").alias("lang"), F.inline("measured"))
 
 
 def extra_ja(parsed: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ compared with is the large side and never moves.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,11 +16,18 @@ from foliolens.functions import text as T
 SCHEMA = "metric string, threshold double, direction string, severity string, guidance string"
 
 
+def small_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows of strings, doubles and booleans; by Arrow, so that no Python worker has to give them out again on executors."""
+    names = [x.split()[0] for x in schema.split(", ")]
+    kinds = [{"string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}[x.split()[1]] for x in schema.split(", ")]
+    return spark.createDataFrame(pa.table([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names))
+
+
 def builtin(spark: SparkSession, name: str = "oss") -> DataFrame:
     """(metric, threshold, direction, severity, guidance) of a built-in profile."""
     if name not in V.PROFILES:
         raise ValueError(f"unknown profile: {name}")
-    return spark.createDataFrame(V.THRESHOLDS, SCHEMA)
+    return small_frame(spark, V.THRESHOLDS, SCHEMA)
 
 
 def overlay(profile: DataFrame, patch: DataFrame, disable: tuple[str, ...] = (), may_add: bool = True) -> DataFrame:
@@ -44,7 +52,7 @@ def overlay(profile: DataFrame, patch: DataFrame, disable: tuple[str, ...] = (),
 
 def doctype_patches(spark: SparkSession) -> DataFrame:
     """(doctype, metric, value, disabled) of the built-in document types."""
-    return spark.createDataFrame([(d, m, v, v is None) for d, m, v in V.DOCTYPE_THRESHOLDS], "doctype string, metric string, value double, disabled boolean")
+    return small_frame(spark, [(d, m, v, v is None) for d, m, v in V.DOCTYPE_THRESHOLDS], "doctype string, metric string, value double, disabled boolean")
 
 
 def by_doctype(profile: DataFrame, patches: DataFrame | None = None) -> DataFrame:
@@ -53,7 +61,7 @@ def by_doctype(profile: DataFrame, patches: DataFrame | None = None) -> DataFram
     A patch of a type comes after the project's own values, so it overrides them.
     """
     spark = profile.sparkSession
-    types = spark.createDataFrame([("",), *((d,) for d in V.DOCTYPES)], "doctype string")
+    types = small_frame(spark, [("",), *((d,) for d in V.DOCTYPES)], "doctype string")
     patches = doctype_patches(spark) if patches is None else patches
     d = types.join(F.broadcast(profile), how="cross").join(F.broadcast(patches), ["doctype", "metric"], "left")  # a dozen rows by ten
     return d.where(~F.coalesce("disabled", F.lit(False))).select("doctype", "metric", F.coalesce("value", "threshold").alias("threshold"), "direction", "severity", "guidance")

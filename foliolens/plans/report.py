@@ -23,6 +23,7 @@ def severity_rank(c: Column) -> Column:
 def check(docs: DataFrame, key: str, source: str = "source", lang: str = "en", profile: DataFrame | None = None, tokenize=None, reference: DataFrame | None = None, allow: tuple[str, ...] = (), silenced: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(document metrics out of range, findings) for docs of one language with a key, a source and, if declared, a doctype.
 
+    Both come from one pass over the texts: what a document gives is one array, shuffled by key, and that shuffle is read for both.
     Japanese needs tokenize (see functions.morphology) and fails without it.
     """
     if "doctype" not in docs.columns:
@@ -34,10 +35,9 @@ def check(docs: DataFrame, key: str, source: str = "source", lang: str = "en", p
         parsed = tokenize(parsed)
     profile = profiles.builtin(docs.sparkSession) if profile is None else profile
     table = profiles.by_doctype(profile).withColumnRenamed("doctype", "_type")
-    measured = (metrics.metrics_en if lang == "en" else metrics.metrics_ja)(parsed.withColumn("_type", F.coalesce("doctype", F.lit(""))), key, "_type")
-    out = metrics.out_of_range(measured, table, "_type").drop("_type")
     tokens = None if lang == "en" else "block_tokens"
-    d, found = rules.maintainability(parsed, lang, tokens)
+    d = T.bound(parsed, _type=F.coalesce("doctype", F.lit("")))
+    d, found = rules.maintainability(metrics.with_metrics(d, lang), lang, tokens)
     if lang == "ja":
         d = T.bound(d, katakana=rules.prefer_katakana(tokens, allow), variant=rules.glossary_variant(allow=allow))
         found = [*found, (V.PREFER_KATAKANA, "katakana"), (V.VARIANT, "variant")]
@@ -45,7 +45,15 @@ def check(docs: DataFrame, key: str, source: str = "source", lang: str = "en", p
             d = rules.rare_wago(d, tokens, reference, allow=allow)
             found = [*found[:7], (V.RARE_WAGO, "rare_wago"), *found[7:]]
     d, more = structure.structure(d, lang)
-    return out, rules.findings(d, [r for r in found + more if r[0][0] not in silenced], key)
+    local = rules.found_of([r for r in found + more if r[0][0] not in silenced])
+    d = T.bound(d, _local=local, _measured=F.transform("measured", lambda m: F.struct(m["metric"].alias("metric"), m["value"].alias("value"), F.col("_type").alias("_type"))))
+    kinds = dict(d.dtypes)
+    entry = f"struct<m:{kinds['_measured'][6:-1]},f:{kinds['_local'][6:-1]}>"
+    said = F.concat(F.transform("_measured", lambda m: F.struct(m.alias("m"), F.lit(None).alias("f")).cast(entry)), F.transform("_local", lambda f: F.struct(F.lit(None).alias("m"), f.alias("f")).cast(entry)))
+    d = d.select(key, said.alias("_said")).repartition(F.col(key))  # both sides need both columns, or there would be two shuffles
+    of = lambda part: F.transform(F.filter("_said", lambda x: x[part].isNotNull()), lambda x: x[part])
+    out = metrics.out_of_range(d.select(key, F.lit(lang).alias("lang"), F.inline(of("m"))), table, "_type").drop("_type")
+    return out, d.select(key, F.inline(of("f")))
 
 
 def reports(docs: DataFrame, out: DataFrame, found: DataFrame, key: str) -> DataFrame:

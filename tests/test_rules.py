@@ -85,3 +85,42 @@ def test_metrics(spark):
     assert abs(rows[1].mattr100 - sum(naive) / 31) < 1e-12
     assert rows[2].mattr100 == 2 / 3 and rows[3].mattr100 == 0 and rows[3].prose_ratio == 0
     assert rows[4].similes == 1 and rows[4].list_ratio == 0.5 and rows[4].prose_ratio == 9 / 13
+
+
+def test_profiles_need_no_python_on_executors(spark):
+    from foliolens.operators import profiles
+
+    frame = profiles.by_doctype(profiles.builtin(spark))
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "ExistingRDD" not in plan and frame.count() > 90 and {r.severity for r in frame.collect()} <= {"error", "warning", "info"}
+
+
+def test_check_goes_over_the_texts_once(spark):
+    from foliolens.plans import report
+
+    docs = spark.createDataFrame([(k, "# T\nIt is so currently.\n- a\n", None) for k in range(20)], "doc_id long, source string, doctype string")
+    out, found = report.check(docs, "doc_id")
+    r = report.reports(docs, out, found, "doc_id")
+    assert {len(x.local) > 0 for x in r.collect()} == {True}
+    plan = r._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("struct(blocks") == 1 and "ReusedExchange" in plan
+
+
+def test_cheap_tests_let_all_matches_through(spark):
+    from foliolens import fixed_values as V
+    from foliolens.functions import text as T
+
+    texts = ["It is ſo far", "İn the future", "CURRENTLY", "as of this writing", "newer", "over the LAST two dayſ", "next week", "The following", "Two steps", "2 ways", "we tried", "It turned out", "step 2 is done", "it used to be", "x etc.", "and more ", "nothing here", "", "é"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for pattern in V.NEEDED:
+        got = rows.select("t", T.fits(F.col("t"), pattern).alias("a"), F.col("t").rlike(T.unicode(pattern)).alias("b")).collect()
+        assert all(r.a == r.b for r in got), pattern
+        assert any(r.b for r in got), pattern
+
+
+def test_markup_that_only_begins_is_left_as_it_is(spark):
+    from foliolens.operators.parse import parse
+
+    source = "a [b](c) ![d](e) [f] (g) `h` i` **j** *k* l*\n\u3000\u2003 x \u0085\n~~~\nin\n~~~\n{{< highlight go >}}\nin\n{{< /highlight >}}\nlast\n```\nopen"
+    r = parse(spark.createDataFrame([(1, source)], "doc_id long, source string"), "source", "blocks").first()
+    assert [(b.line, b.text) for b in r.blocks] == [(1, "a b d [f] (g)  i` j k l*"), (2, "x"), (9, "last")]
